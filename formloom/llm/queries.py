@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formloom.llm import quality_rules
+from formloom.llm import bpe, quality_rules
 from formloom.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """Path of the public vocabulary file, which lies outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary(), ["doc_id"])
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules.rate(_table(spark, sf_dir, "documents")).select(*cols)
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {
+        "op1_bpe": op1_bpe,
+        "op4_quality_rules": op4_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
