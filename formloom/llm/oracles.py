@@ -56,3 +56,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   CASE WHEN base_failed THEN false ELSE 1000 * n_symbols // n_words <= f1 AND 100 * word_chars // n_words <= f2 AND 1000 * n_dup_lines // n_words <= f3 END AS kept
 FROM v
 """
+
+ORACLES["op2_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s
+), o AS (
+  SELECT *, (3 * source_size)::HUGEINT AS cap, 3 * source_size::DOUBLE / weight AS ratio FROM w
+), l AS (
+  SELECT *, (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM o
+), k AS (
+  SELECT *, cap * weights <= weight * rest AS capped FROM l
+), lv AS (
+  SELECT rest AS r, weights AS ws FROM k WHERE NOT capped ORDER BY ratio, source NULLS LAST LIMIT 1
+), t AS (
+  SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * lv.r)::DOUBLE / lv.ws::DOUBLE END AS target FROM k LEFT JOIN lv ON true
+), p AS (
+  SELECT doc_id, size, source_size, target,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN size = 0 THEN 0 ELSE size * least(3, greatest(0, ceil((target - start - size / 2) / source_size))) END)::BIGINT AS taken
+FROM p
+"""
