@@ -23,6 +23,7 @@ import hashlib
 import json
 from itertools import chain
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,6 +191,13 @@ def lowered(text: str) -> str:
     return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
 
+def vocabulary() -> str:
+    """Path of the public vocabulary file, which lies outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _loaded(spark: SparkSession, path: str):
     """The vocabulary as a broadcast: its size is fixed by the file."""
     with open(path, encoding="utf-8") as f:
@@ -229,7 +237,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", to: str = "deco
     spec = _loaded(df.sparkSession, vocabulary)
 
     @F.pandas_udf(T.StringType())
-    def texts(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def texts(ids: pd.Series) -> pd.Series:
         bpe = _bpe(spec)
         return ids.map(lambda x: "" if x is None else bpe.decode([int(i) for i in x]))
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formloom.llm import bpe, mixing, quality_rules, simhash
+import corpus_pipeline
+from formloom.llm import bpe, mixing, quality_rules, secrets, simhash
 from formloom.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,15 +17,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
-    """Path of the public vocabulary file, which lies outside the repository."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary(), ["doc_id"])
+    return bpe.digests(_table(spark, sf_dir, "documents"), bpe.vocabulary(), ["doc_id"])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +34,22 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(_table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
         "op2_mixing": op2_mixing,
         "op3_simhash": op3_simhash,
         "op4_quality_rules": op4_quality_rules,
+        "op9_secrets": op9_secrets,
+        "pipeline": pipeline,
     }
 
 
