@@ -84,3 +84,18 @@ SELECT doc_id, size, source_size, target,
   (CASE WHEN size = 0 THEN 0 ELSE size * least(3, greatest(0, ceil((target - start - size / 2) / source_size))) END)::BIGINT AS taken
 FROM p
 """
+
+ORACLES["op8_topk"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c AS (
+  SELECT uid, vec_id, unnest(x) AS val, unnest(range(len(x))) AS i FROM v
+), p AS (
+  SELECT q.uid AS qu, q.vec_id AS query_id, c.uid AS cu, c.vec_id, sum(q.val * c.val)::BIGINT AS score
+  FROM c q JOIN c ON q.i = c.i AND q.uid <> c.uid WHERE q.vec_id % 100 = 0 GROUP BY q.uid, q.vec_id, c.uid, c.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY qu ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank, vec_id, score FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
