@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from formloom.llm import bpe, mixing, quality_rules, secrets, simhash, topk
+from formloom.llm import bpe, mixing, quality_rules, secrets, sharding, simhash, topk
 from formloom.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(_table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Query]:
         "op2_mixing": op2_mixing,
         "op3_simhash": op3_simhash,
         "op4_quality_rules": op4_quality_rules,
+        "op7_sharding": op7_sharding,
         "op8_topk": op8_topk,
         "op9_secrets": op9_secrets,
         "pipeline": pipeline,
