@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from formloom.llm import bpe, mixing, quality_rules, secrets, sharding, simhash, topk
+from formloom.llm import bpe, mixing, quality_rules, secrets, sharding, simhash, topk, warc
 from formloom.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(_table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op2_mixing": op2_mixing,
         "op3_simhash": op3_simhash,
         "op4_quality_rules": op4_quality_rules,
+        "op5_warc": op5_warc,
         "op7_sharding": op7_sharding,
         "op8_topk": op8_topk,
         "op9_secrets": op9_secrets,
