@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from formloom.llm import bpe, mixing, quality_rules, secrets, sharding, simhash, topk, warc
+from formloom.llm import bpe, mixing, quality_fm, quality_rules, secrets, sharding, simhash, topk, warc
 from formloom.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op7_sharding": op7_sharding,
         "op8_topk": op8_topk,
         "op9_secrets": op9_secrets,
+        "op10_quality_fm": op10_quality_fm,
         "pipeline": pipeline,
     }
 
