@@ -1,5 +1,7 @@
 r"""DuckDB SQL for the training-data queries that SQL can express."""
 
+from formloom.llm.licenses import COVER, GAP, templates
+
 ORACLES: dict[str, str] = {}
 
 _BUCKET = "CASE WHEN v < 64 THEN v ELSE ((v >> (length(bin(v)) - 6)::INT) << (length(bin(v)) - 6)::INT) END"
@@ -113,3 +115,32 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id IS NOT DISTINCT FROM m THEN NULL ELSE m END AS refers_to
 FROM d
 """
+
+_PAIRS = ", ".join(f"({t}, {j}, '{a}', '{b}', {n}, '{label}', {base})" for t, j, a, b, n, label, base in templates())
+
+ORACLES["op6_licenses"] = rf"""
+WITH tp (t, j, a, b, n_pairs, label, base) AS (VALUES {_PAIRS}
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT rid, unnest(w) AS a, unnest(w[2:]) AS b, unnest(range(len(w))) AS pos FROM d
+), v AS (
+  SELECT rid, t, pos - j AS diag, bit_or((1::BIGINT << j)) AS mask, any_value(n_pairs) AS n_pairs, any_value(label) AS label, any_value(base) AS base
+  FROM p JOIN tp USING (a, b) GROUP BY rid, t, pos - j
+), f AS (
+  SELECT *, coalesce((diag - lag(diag) OVER (PARTITION BY rid, t ORDER BY diag) > {GAP})::INT, 0) AS far FROM v
+), s AS (
+  SELECT *, sum(far) OVER (PARTITION BY rid, t ORDER BY diag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM f
+), c AS (
+  SELECT *, bit_count(bit_or(mask) OVER (PARTITION BY rid, t, span)) / n_pairs AS cover, base AND bit_count(mask) = n_pairs AS place FROM s
+), g AS (
+  SELECT rid, count(*) FILTER (WHERE place) AS n_base, min(diag) FILTER (WHERE place) AS first_word, max(diag) FILTER (WHERE place) AS last_word,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place), '') AS base_labels,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place OR (NOT base AND cover >= {COVER})), '') AS labels,
+    coalesce(max(CASE WHEN place THEN 1.0::DOUBLE WHEN NOT base AND cover >= {COVER} THEN cover END), 0) AS score
+  FROM c GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (rid)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from formloom.llm import bpe, mixing, quality_fm, quality_rules, secrets, sharding, simhash, topk, warc
+from formloom.llm import bpe, licenses, mixing, quality_fm, quality_rules, secrets, sharding, simhash, topk, warc
 from formloom.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op3_simhash": op3_simhash,
         "op4_quality_rules": op4_quality_rules,
         "op5_warc": op5_warc,
+        "op6_licenses": op6_licenses,
         "op7_sharding": op7_sharding,
         "op8_topk": op8_topk,
         "op9_secrets": op9_secrets,
