@@ -3,13 +3,14 @@ r"""Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 Equal texts form a group and stay together where they can. Groups are placed one after the
 other, largest first, each into the shard whose residual capacity has the highest dot product
 with the group's (bytes, tokens, rows), all in shares of a shard's fair part; a shard that
-has room in every dimension goes before one that has not.
+has room for the bytes goes before one that has not, as the law that holds is ``bytes``: the
+shards' sizes are near equal, and tokens and rows are as balanced as the groups allow.
 
 What the driver places is bounded whatever the corpus: groups over 1/``HEAVY`` of a shard in
 some dimension are placed by themselves (there are at most 3 * shards * HEAVY of them), and
 all others are hashed into ``CHUNKS`` chunks that are placed as wholes. A group larger than
 1/``SPLIT`` of a shard is first cut into pieces by a hash of its documents' ids, as no
-placement could balance it. The law that holds is ``bytes``: the shards' sizes are near equal.
+placement could balance it.
 
 Slots number a shard's documents from 0 without gaps: counts of (shard, bucket) are summed,
 then rows are numbered inside their bucket; buckets grow in number with the rows.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from formloom.llm.common import fresh_path, n_words, written
 
 SHARDS = 8
-HEAVY, SPLIT, CHUNKS = 200, 20, 8_192
+HEAVY, SPLIT, CHUNKS = 200, 4, 8_192
 #: Rows that a bucket of slots holds on average at most.
 BUCKET_ROWS = 5_000
 DIMS = ("bytes", "tokens", "rows")
@@ -40,9 +41,8 @@ def placed(loads: np.ndarray, shards: int) -> np.ndarray:
     left = np.ones((shards, loads.shape[1]))
     out = np.zeros(len(loads), np.int64)
     for i in np.lexsort((np.arange(len(loads)), -share.max(axis=1))):
-        room = (left >= share[i]).all(axis=1)
-        gain = left @ share[i]
-        out[i] = best = int(np.where(room, gain + 1e6, gain).argmax()) if room.any() else int((left - share[i]).min(axis=1).argmax())
+        room = left[:, 0] >= share[i, 0]
+        out[i] = best = int(np.where(room, left @ share[i], -np.inf).argmax()) if room.any() else int(left[:, 0].argmax())
         left[best] -= share[i]
     return out
 
