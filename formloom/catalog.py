@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from formloom import queries as _all
+from formloom import registry
 
+for _m in pkgutil.iter_modules(_all.__path__):
+    importlib.import_module(f"{_all.__name__}.{_m.name}")
 
-def queries() -> dict[str, Query]:
-    return {}
+
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """events -> cues -> SRT text per user -> cues again."""
+    return registry.QUERIES["subtitle_srt_roundtrip"](spark, sf_dir)
