@@ -16,7 +16,7 @@ SIGNATURES = [
 ]
 NETPBM = {"31": "pbm", "34": "pbm", "32": "pgm", "35": "pgm", "33": "ppm", "36": "ppm", "66": "pfm", "46": "pfm"}
 #: A root element after a byte order mark, one declaration and comments.
-SVG_ROOT = r"^﻿?(?>(?i:<\?xml[^?]*\?>\s*)?)(?>(?:<!--[\s\S]*?-->\s*)*)\s*<(?:svg|SVG)"
+SVG_ROOT = r"^\ufeff?(?>(?i:<\?xml[^?]*\?>\s*)?)(?>(?:<!--[\s\S]*?-->\s*)*)\s*<(?:svg|SVG)"
 
 
 def _at(h: Column, offset: int, sig: str) -> Column:
@@ -61,7 +61,7 @@ def detect_with_hint(content: Column, name: Column) -> Column:
 
 def detect_subtitle(text: Column) -> Column:
     """MIME type of a subtitle text, or null; rules in order."""
-    t = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n", "\n")
+    t = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n", "\n")
     first = F.regexp_extract(t, r"^\s*?([^\n]*\S[^\n]*)", 1)
     info = t.rlike(r"(?m)^\[Script Info\]")
     return (F.when(t.rlike(r"^\s*WEBVTT"), "text/vtt")
