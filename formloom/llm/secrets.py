@@ -20,10 +20,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +54,10 @@ KINDS = [k for k, *_ in (*BASE, *ADDED)]
 EXAMPLE_OWNERS = 5
 #: Bits per character above which a value looks random.
 LIVE_BITS = 2.5
-#: Any text with a candidate holds one of these (Java syntax): a cheap superset of all kinds.
-HINT = r"(?i)password|passwd|secret|token|api_?key|akia|[0-9a-f]{32}|private key|eyj|gh[pousr]_|xox[abprs]-|aiza|k_live_|://"
+#: Any text with a candidate holds one of these: literal parts, or a match of a short pattern
+#: (Java syntax). Literals are far cheaper than a pattern with as many alternatives.
+PARTS = ["AKIA", "PRIVATE KEY", "eyJ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "k_live_", "://"]
+HINTS = ["(?i)passw|secret|token|api_?key", "[0-9a-f]{32}"]
 
 _CAND = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()),
                                   T.StructField("vs", T.IntegerType()), T.StructField("ve", T.IntegerType()), T.StructField("hash", T.BinaryType()), T.StructField("random", T.BooleanType())]))
@@ -144,6 +148,11 @@ def _cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def hinted(text: Column) -> Column:
+    """Whether a text may hold a candidate."""
+    return F.coalesce(reduce(or_, [*[F.contains(text, F.lit(p)) for p in PARTS], *[text.rlike(p) for p in HINTS]]), F.lit(False))
+
+
 def redacted(docs: DataFrame, owner: str = "source", repo: str = "doc_id", mark: str = "[secret]") -> DataFrame:
     """docs with each value that is not a widely copied example replaced by mark; n_chars follows where it is a column.
 
@@ -153,8 +162,7 @@ def redacted(docs: DataFrame, owner: str = "source", repo: str = "doc_id", mark:
     aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     own = docs.withColumnsRenamed(aside)
     text = F.col(aside["text"])
-    hinted = F.coalesce(text.rlike(HINT), F.lit(False))
-    some = own.where(hinted).withColumn("_k", row_key(F.col(aside["doc_id"]), text))
+    some = own.where(hinted(text)).withColumn("_k", row_key(F.col(aside["doc_id"]), text))
     named = some.select("_k", F.col(aside[owner]).alias("_owner"), F.col(aside[repo]).alias("_repo"), text.alias("_text"))
     rows = written(scanned(named, ["_k", "_owner", "_repo"], "_text").where(F.size("cands") > 0).select("_k", "_owner", "_repo", "cands"), "secrets")
     # Rows with the same key have the same text, so one row's candidates serve them all.
@@ -170,5 +178,5 @@ def redacted(docs: DataFrame, owner: str = "source", repo: str = "doc_id", mark:
     mended = met.where("_cuts IS NOT NULL").withColumn(aside["text"], cut(text, F.col("_cuts"))).drop("_cuts", "_k")
     if "n_chars" in aside:
         mended = mended.withColumn(aside["n_chars"], F.char_length(text).cast(own.schema[aside["n_chars"]].dataType))
-    out = own.where(~hinted).unionByName(clean).unionByName(mended)
+    out = own.where(~hinted(text)).unionByName(clean).unionByName(mended)
     return out.select(*[F.col(v).alias(c) for c, v in aside.items()])
