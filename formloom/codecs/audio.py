@@ -173,11 +173,15 @@ def _flac_head(data: bytes, at: int) -> tuple[int, int, int] | None:
     if at + 6 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8:
         return None
     block, rate = data[at + 2] >> 4, data[at + 2] & 15
+    if not block or rate == 15:
+        return None
     try:
         number, n = _varint(data, at + 4)
     except (FormatError, IndexError):
         return None
     p = at + 4 + n
+    if p + 2 > len(data):
+        return None
     if block == 6:
         size, p = data[p] + 1, p + 1
     elif block == 7:
@@ -185,7 +189,7 @@ def _flac_head(data: bytes, at: int) -> tuple[int, int, int] | None:
     else:
         size = 192 if block == 1 else 576 << (block - 2) if 2 <= block <= 5 else 256 << (block - 8)
     p += {12: 1, 13: 2, 14: 2}.get(rate, 0)
-    if not block or rate == 15 or p >= len(data) or crc8(data[at:p]) != data[p]:
+    if p >= len(data) or crc8(data[at:p]) != data[p]:
         return None
     return size, number, p + 1 - at
 

@@ -142,7 +142,7 @@ def build(units: list[tuple[int, int, bytes]], kinds: dict[int, int], program: i
 
 def annexb_units(data: bytes) -> list[bytes]:
     """Units between start codes."""
-    parts = re.split(rb"\0\0\1", data)
+    parts = re.split(rb"\x00\x00\x01", data)
     return [p.rstrip(b"\0") for p in parts[1:] if p.rstrip(b"\0")]
 
 
@@ -161,7 +161,7 @@ def to_annexb(data: bytes) -> bytes:
 
 
 def without_emulation(unit: bytes) -> bytes:
-    return re.sub(rb"\0\0\x03", b"\0\0", unit)
+    return re.sub(rb"\x00\x00\x03", b"\0\0", unit)
 
 
 def avc_codec_string(sps: bytes) -> str:
