@@ -47,13 +47,13 @@ def archive_gzip_roundtrip(spark, sf_dir):
 
 
 def _levels(spark, sf_dir):
-    """Pixels and samples: one file per supplier group, values of a byte."""
+    """Pixels and samples: one file per thousand orders, so files stay small however many there are."""
     w = Window.partitionBy("file").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    t = table(spark, sf_dir, "lineitem").withColumn("file", F.col("l_suppkey") % 50)
+    t = table(spark, sf_dir, "lineitem").withColumn("file", F.floor(F.col("l_orderkey") / 1000))
     return t.select("file", F.row_number().over(w).alias("i"), (F.col("l_partkey") % 256).alias("v"), F.col("l_quantity").cast("int").alias("q"))
 
 
-_LEVELS = """v AS (SELECT l_suppkey % 50 AS file, row_number() OVER (PARTITION BY l_suppkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS i, l_partkey % 256 AS v FROM lineitem)"""
+_LEVELS = """v AS (SELECT l_orderkey // 1000 AS file, row_number() OVER (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS i, l_partkey % 256 AS v FROM lineitem)"""
 
 
 @query("audio_wav_roundtrip", f"WITH {_LEVELS} SELECT file, 8000 AS sample_rate, count(*) AS n_frames, sum(v - 128)::BIGINT AS total FROM v GROUP BY file")
@@ -67,17 +67,22 @@ def audio_wav_roundtrip(spark, sf_dir):
     return source.read(files, "wav", ["file"]).select("file", "sample_rate", "n_frames", total("samples").alias("total"))
 
 
-_SIDE = 16
+_WIDE = 64
 
 
 def _images(fmt: str, channels: int, depth: int = 8):
+    """All values of a file as an image of 64 columns; the last row is filled up with zeros."""
+
     def make(f):
-        n = _SIDE * _SIDE * channels
-        v = f["v"].to_numpy().astype(np.int64)[:n]
+        v = f["v"].to_numpy().astype(np.int64)
+        v = np.pad(v, (0, -len(v) % (_WIDE * channels)))
         if depth == 1:
             v = v & 1
+        if fmt == "xpm":  # its pixels are opaque or not there at all
+            v = v.reshape(-1, 4)
+            v[: -(-len(f) // 4), 3] = 255
         raw = v.astype(">f4" if depth == 32 else ">u2" if depth == 16 else np.uint8).tobytes()
-        return image.BUILD[fmt](image.Image(_SIDE, _SIDE, channels, depth, raw))
+        return image.BUILD[fmt](image.Image(_WIDE, v.size // (_WIDE * channels), channels, depth, raw))
 
     return make
 
@@ -88,15 +93,17 @@ _IMAGE_KINDS = [("pbm", 1, 1), ("pgm", 1, 8), ("pgm", 1, 16), ("ppm", 3, 8), ("p
 
 def _image_sql() -> str:
     own = {1: "v & 1", 8: "v", 16: "v", 32: "v"}
-    own |= {"xpm": "CASE WHEN i % 4 = 0 THEN 255 ELSE v END"}
+    own |= {"xpm": "v"}
     own = {(k, d): own.get(k, own[d]) for k, _, d in _IMAGE_KINDS}
-    rows = " UNION ALL ".join(f"SELECT '{k}' AS kind, file, {c} AS channels, {d} AS bit_depth, sum({own[k, d]})::DOUBLE AS total, sum(({own[k, d]}) * i)::DOUBLE AS placed FROM v WHERE i <= {_SIDE * _SIDE * c} AND file % 5 = 0 GROUP BY file" for k, c, d in _IMAGE_KINDS)
-    return f"WITH {_LEVELS} {rows}"
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS kind, file, {c} AS channels, {d} AS bit_depth, sum({own[k, d]})::DOUBLE AS total, sum(({own[k, d]}) * i)::DOUBLE AS placed FROM {'x' if k == 'xpm' else 'v'} GROUP BY file" for k, c, d in _IMAGE_KINDS)
+    # Alpha values are 255, of the last pixel too if it was begun.
+    alpha = "x AS (SELECT file, i, CASE WHEN i % 4 = 0 THEN 255 ELSE v END AS v FROM v UNION ALL SELECT file, (4 * ceil(max(i) / 4))::BIGINT, 255 FROM v GROUP BY file HAVING max(i) % 4 <> 0)"
+    return f"WITH {_LEVELS}, {alpha} {rows}"
 
 
 @query("image_roundtrips", _image_sql())
 def image_roundtrips(spark, sf_dir):
-    v = _levels(spark, sf_dir).where("file % 5 = 0")
+    v = _levels(spark, sf_dir)
 
     @F.pandas_udf("array<double>")
     def sums(px: pd.Series, depth: pd.Series) -> pd.Series:
@@ -108,10 +115,7 @@ def image_roundtrips(spark, sf_dir):
 
     out = None
     for k, c, d in _IMAGE_KINDS:
-        if k == "xpm":  # its pixels are opaque or not there at all
-            make = lambda f: image.build_xpm(image.Image(_SIDE, _SIDE, 4, 8, bytes(x if i % 4 < 3 else 255 for i, x in enumerate(f["v"][: 4 * _SIDE * _SIDE]))))
-        else:
-            make = _images(k, c, d)
+        make = _images(k, c, d)
         got = source.read(sink.build(v, ["file"], "i", make), k, ["file"]).withColumn("s", sums("pixels", "bit_depth"))
         got = got.select(F.lit(k).alias("kind"), "file", "channels", "bit_depth", F.col("s")[0].alias("total"), F.col("s")[1].alias("placed"))
         out = got if out is None else out.unionByName(got)
@@ -156,16 +160,28 @@ def video_ts_counters(spark, sf_dir):
     return p.select("conv_id").distinct().join(gaps.groupBy("conv_id").agg(F.count("*").alias("g")), "conv_id", "left").select("conv_id", F.coalesce("g", F.lit(0)).cast("int").alias("n_gaps"))
 
 
-@query("audio_frames_roundtrip", """SELECT 'aac' AS kind, conv_id, (turn + 1)::INT AS ordinal, 44100 AS sample_rate, md5(substr(text, 1, 300)) AS body_md5 FROM conversations
-UNION ALL SELECT 'flac', conv_id, (turn + 1)::INT, 44100, md5(substr(text, 1, 300)) FROM conversations UNION ALL SELECT 'mp3', conv_id, (turn + 1)::INT, 44100, md5(substr(text, 1, 60)) FROM conversations""")
+_PIECE = 400
+
+
+def _pieces(f) -> list[bytes]:
+    whole = b"".join(map(bytes, f["body"]))
+    return [whole[i : i + _PIECE] for i in range(0, len(whole), _PIECE)]
+
+
+@query("audio_frames_roundtrip", """SELECT k.kind, conv_id, ceil(sum(strlen(text)) / 400)::BIGINT AS n_frames, md5(string_agg(text, '' ORDER BY turn)) AS body_md5 FROM conversations, (VALUES ('aac'), ('flac'), ('mp3')) AS k(kind) GROUP BY 1, 2""")
 def audio_frames_roundtrip(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 300).cast("binary").alias("body"), F.substring("text", 1, 60).cast("binary").alias("short"))
-    aac = source.read(sink.build(t, ["conv_id"], "turn", lambda f: audio.build_adts([*map(bytes, f["body"])])), "aac", ["conv_id"])
-    flac = source.read(sink.build(t, ["conv_id"], "turn", lambda f: audio.build_flac([*map(bytes, f["body"])])), "flac", ["conv_id"])
-    mp3 = source.read(sink.build(t, ["conv_id"], "turn", lambda f: audio.build_mp3([bytes([len(b)]) + bytes(b) for b in f["short"]])), "mp3", ["conv_id"])
-    body = {"aac": F.col("payload"), "flac": F.expr("substring(payload, 7, length(payload) - 8)"), "mp3": F.expr("substring(payload, 6, cast(conv(hex(substring(payload, 5, 1)), 16, 10) AS int))")}
-    parts = [d.select(F.lit(k).alias("kind"), "conv_id", "ordinal", "sample_rate", F.md5(body[k]).alias("body_md5")) for k, d in (("aac", aac), ("flac", flac), ("mp3", mp3))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """A talk's whole text dealt to frames, and put together again from them."""
+    t = _talk(spark, sf_dir)
+    make = {"aac": lambda f: audio.build_adts(_pieces(f)), "flac": lambda f: audio.build_flac(_pieces(f)), "mp3": lambda f: audio.build_mp3([len(p).to_bytes(2) + p for p in _pieces(f)])}
+    body = {"aac": "payload", "flac": "substring(payload, cast(length(payload) - 2 - (length(payload) - 8 - CASE WHEN number < 128 THEN 0 WHEN number < 2048 THEN 1 ELSE 2 END) + 1 AS int), length(payload) - 8 - CASE WHEN number < 128 THEN 0 WHEN number < 2048 THEN 1 ELSE 2 END)",
+            "mp3": "substring(payload, 7, cast(conv(hex(substring(payload, 5, 2)), 16, 10) AS int))"}
+    out = None
+    for k, m in make.items():
+        got = source.read(sink.build(t, ["conv_id"], "turn", m), k, ["conv_id"]).select("conv_id", "ordinal", F.lit(k).alias("kind"), (F.col("ordinal") == 1).alias("begins"), F.expr(body[k]).alias("payload"))
+        got = timeline.reassembled(got, ["kind", "conv_id"], "ordinal", "begins", "payload")
+        got = got.select("kind", "conv_id", F.col("n_parts").alias("n_frames"), F.md5("payload").alias("body_md5"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("video_mp4_samples", """WITH c AS (SELECT conv_id, turn, text, strlen(text) AS size, coalesce(sum(1000 + turn % 3) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM conversations)
@@ -200,32 +216,36 @@ def video_mp4_fragments(spark, sf_dir):
     return out.select("conv_id", "fragment", "ordinal", "duration", "size")
 
 
-def _frames(f, n=8):
-    return [(0, 0, n, n, 10 * (int(t) + 1), 0, 0, bytes(bytes(b)[:64]).ljust(64, b"\0")) for t, b in zip(f["turn"], f["body"], strict=True)]
+def _frames(f) -> tuple[int, list]:
+    """A talk's canvas height and frames: a turn's text as rows of 64 bytes, filled up with spaces."""
+    out = []
+    for t, b in zip(f["turn"], f["body"], strict=True):
+        px = bytes(b) or b" "
+        px += b" " * (-len(px) % 64)
+        out.append((0, 0, 64, len(px) // 64, 10 * (int(t) + 1), 0, 0, px))
+    return max(r[3] for r in out), out
 
 
-@query("animation_roundtrips", """WITH c AS (SELECT conv_id, turn, left(text, 20) AS s FROM conversations)
-SELECT k.kind, conv_id, (turn + 1)::INT AS ordinal, (10 * (turn + 1))::INT AS duration_ms, 8 AS width FROM c, (VALUES ('gif'), ('apng'), ('webp')) AS k(kind)""")
+@query("animation_roundtrips", """SELECT k.kind, conv_id, (turn + 1)::INT AS ordinal, (10 * (turn + 1))::INT AS duration_ms, 64 AS width, md5(text || repeat(' ', CASE WHEN text = '' THEN 64 ELSE (64 - strlen(text) % 64) % 64 END)) AS pixels_md5
+FROM conversations, (VALUES ('gif'), ('apng'), ('webp')) AS k(kind)""")
 def animation_roundtrips(spark, sf_dir):
-    import zlib
-
     grey = bytes(x for i in range(256) for x in (i, i, i))
-    make = {"gif": lambda f: animation.build_gif(8, 8, grey, [(x, y, w, h, ms, d, px) for x, y, w, h, ms, d, _, px in _frames(f)]), "apng": lambda f: animation.build_apng(8, 8, [(*r[:7], zlib.compress(r[7])) for r in _frames(f)]), "webp": lambda f: animation.build_webp(8, 8, _frames(f))}
+
+    def gif(f):
+        high, frames = _frames(f)
+        return animation.build_gif(64, high, grey, [(x, y, w, h, ms, d, px) for x, y, w, h, ms, d, _, px in frames])
+
+    def other(build):
+        return lambda f: build(64, *_frames(f))
+
     out = None
-    for kind, m in make.items():
-        got = source.read(sink.build(_talk(spark, sf_dir), ["conv_id"], "turn", m), kind, ["conv_id"]).select(F.lit(kind).alias("kind"), "conv_id", "ordinal", "duration_ms", "width")
+    for kind, m in {"gif": gif, "apng": other(animation.build_apng), "webp": other(animation.build_webp)}.items():
+        got = source.read(sink.build(_talk(spark, sf_dir), ["conv_id"], "turn", m), kind, ["conv_id"])
+        got = got.select(F.lit(kind).alias("kind"), "conv_id", "ordinal", "duration_ms", "width", F.md5("payload").alias("pixels_md5"))
         out = got if out is None else out.unionByName(got)
     return out
 
 
-@query("animation_gif_pixels", "SELECT conv_id, (turn + 1)::INT AS ordinal, md5(rpad(left(regexp_replace(text, '[^ -~]', '?', 'g'), 64), 64, ' ')) AS pixels_md5 FROM conversations")
-def animation_gif_pixels(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.rpad(F.substring(F.regexp_replace("text", "[^ -~]", "?"), 1, 64), 64, " ").cast("binary").alias("body"))
-    grey = bytes(x for i in range(256) for x in (i, i, i))
-    files = sink.build(t, ["conv_id"], "turn", lambda f: animation.build_gif(8, 8, grey, [(0, 0, 8, 8, 0, 0, bytes(b)) for b in f["body"]]))
-    return source.read(files, "gif", ["conv_id"]).select("conv_id", "ordinal", F.md5("payload").alias("pixels_md5"))
-
-
 @query("image_ico_icns", "SELECT conv_id, (turn + 1)::INT AS ordinal, md5(text) AS body_md5, k.kind FROM conversations, (VALUES ('ico'), ('icns')) AS k(kind)")
 def image_ico_icns(spark, sf_dir):
     t = _talk(spark, sf_dir)

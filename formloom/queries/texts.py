@@ -10,8 +10,6 @@ from formloom.sources import delimited
 from formloom.sources import text as source
 from formloom.sources.text import FwfColumn
 
-_ONE = F.lit(1).alias("file")
-
 
 @query("text_lines", "SELECT doc_id, len(string_split_regex(text, '\\r\\n|\\r|\\n')) AS n_lines, sum(0) AS zero FROM documents GROUP BY doc_id, text")
 def text_lines(spark, sf_dir):
@@ -93,8 +91,8 @@ def ini_last_wins(spark, sf_dir):
     return source.parse_ini(sink.joined(o, ["file"], "ordinal", F.col("l"), "\n").withColumnRenamed("_t", "text"), ["file"]).select("file", "key", "value", "n_seen")
 
 
-@query("env_roundtrip", "SELECT lang, 'DOC_' || doc_id AS key, text AS value, doc_id AS first FROM (SELECT lang, doc_id, replace(substr(text, 1, 300), chr(13), '') AS text FROM documents)")
+@query("env_roundtrip", "SELECT lang, 'DOC_' || doc_id AS key, text AS value, doc_id AS first FROM (SELECT lang, doc_id, replace(text, chr(13), '') AS text FROM documents)")
 def env_roundtrip(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", F.concat(F.lit("DOC_"), F.col("doc_id")).alias("key"), F.replace(F.substring("text", 1, 300), F.lit("\r"), F.lit("")).alias("value"), F.col("doc_id").alias("ordinal"))
+    d = table(spark, sf_dir, "documents").select("lang", F.concat(F.lit("DOC_"), F.col("doc_id")).alias("key"), F.replace("text", F.lit("\r"), F.lit("")).alias("value"), F.col("doc_id").alias("ordinal"))
     out = source.parse_env(sink.serialize_env(d, ["lang"]), ["lang"])
     return out.select("lang", "key", "value", F.regexp_extract("key", r"(\d+)$", 1).cast("long").alias("first"))

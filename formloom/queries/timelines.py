@@ -42,9 +42,9 @@ def media_counter_gaps(spark, sf_dir):
     return op.counter_gaps(_samples(spark, sf_dir).select("track", "sample", (F.col("size") % 16).alias("cc")), K, "sample", "cc")
 
 
-@query("media_sequence_errors", f"WITH {_S} SELECT track, CASE WHEN max(sample) <> count(*) OR min(sample) <> 1 THEN 'SEQUENCE_GAP' END AS error_code FROM s WHERE NOT (track % 3 = 0 AND sample = 2) GROUP BY track")
+@query("media_sequence_errors", f"WITH {_S}, q AS (SELECT track, sample, sample - 1 + (delta = 7)::INT AS seq FROM s), b AS (SELECT track, seq <> coalesce((lag(seq) {_W})) + 1, 0) AS bad FROM q) SELECT track, CASE WHEN bool_or(bad) THEN 'SEQUENCE_GAP' END AS error_code FROM b GROUP BY track")
 def media_sequence_errors(spark, sf_dir):
-    s = _samples(spark, sf_dir).where("NOT (track % 3 = 0 AND sample = 2)").withColumn("seq", F.col("sample") - 1)
+    s = _samples(spark, sf_dir).withColumn("seq", F.col("sample") - 1 + (F.col("delta") == 7).cast("int"))
     return op.sequence_error(s, K, "sample", "seq")
 
 
@@ -115,9 +115,9 @@ def media_overlaps(spark, sf_dir):
     return op.overlaps(_samples(spark, sf_dir).select("track", F.col("delta").alias("a"), (F.col("delta") + F.col("sample")).alias("b")), K, "a", "b")
 
 
-@query("media_over_cap", f"WITH {_S}, t AS (SELECT track, sample, size, sum(size) {_W}) AS total FROM s) SELECT track, min(sample) AS sample, min_by(size, sample) AS size, min(total)::BIGINT AS total FROM t WHERE total > 4000 GROUP BY track")
+@query("media_over_cap", f"WITH {_S}, t AS (SELECT track, sample, size, sum(size) {_W}) AS total FROM s) SELECT track, min(sample) AS sample, min_by(size, sample) AS size, min(total)::BIGINT AS total FROM t WHERE total > 400 GROUP BY track")
 def media_over_cap(spark, sf_dir):
-    return op.over_cap(_samples(spark, sf_dir).select("track", "sample", "size"), K, "sample", "size", 4000)
+    return op.over_cap(_samples(spark, sf_dir).select("track", "sample", "size"), K, "sample", "size", 400)
 
 
 @query("media_one_track", f"WITH {_S} SELECT track, sample FROM s WHERE track = (SELECT min(track) FROM s)")

@@ -28,7 +28,7 @@ def normalised(text: Column) -> Column:
 
 def _blocks(text: Column) -> Column:
     """Runs of lines that are not blank."""
-    return F.filter(F.split(text, rf"(?:^|\n)(?:[^\S\n]*\n)+|\n[^\S\n]*$"), lambda b: F.length(tc.trimmed(b)) > 0)
+    return F.filter(F.split(text, rf"(?:^|\n)(?:[^\S\n]*\n)++|\n[^\S\n]*$"), lambda b: F.length(tc.trimmed(b)) > 0)
 
 
 def _result(df: DataFrame, keys: list[str], cues: Column, bad: Column, mode: str, code: str = "SUBTITLE_PARSE_ERROR") -> DataFrame:
@@ -103,7 +103,7 @@ def parse_vtt(df: DataFrame, keys: list[str], text: str = "text", mode: str = "s
 
     t = normalised(F.col(text))
     # The first block is the header whatever it holds.
-    base = df.select(*keys, t.startswith("WEBVTT").alias("_ok"), _blocks(F.regexp_replace(t, r"^(?:[^\n]*\S[^\n]*(?:\n|$))+", "\n")).alias("_b"))
+    base = df.select(*keys, t.startswith("WEBVTT").alias("_ok"), _blocks(F.regexp_replace(t, r"^(?:[^\n]*\S[^\n]*(?:\n|$))++", "\n")).alias("_b"))
     found = base.select(*keys, "_ok", F.filter(F.transform("_b", cue), lambda c: c.isNotNull()).alias("_c"))
     bad = ~F.col("_ok") | F.exists("_c", lambda c: c["start_ms"].isNull() | c["end_ms"].isNull())
     return _result(found, keys, F.col("_c"), bad, mode)
@@ -111,7 +111,7 @@ def parse_vtt(df: DataFrame, keys: list[str], text: str = "text", mode: str = "s
 
 def vtt_metadata(text: Column) -> Column:
     """Header lines with a colon as a map; the last of equal keys holds."""
-    lines = F.slice(F.split(F.regexp_extract(normalised(text), r"^((?:[^\n]*\S[^\n]*(?:\n|$))*)", 1), "\n"), 2, 1 << 20)
+    lines = F.slice(F.split(F.regexp_extract(normalised(text), r"^((?:[^\n]*\S[^\n]*(?:\n|$))*+)", 1), "\n"), 2, 1 << 20)
     pairs = F.transform(F.filter(lines, lambda s: F.contains(s, F.lit(":"))), lambda s: F.struct(tc.trimmed(F.regexp_extract(s, "^([^:]*):", 1)).alias("k"), tc.trimmed(F.regexp_extract(s, "^[^:]*:(.*)$", 1)).alias("v")))
     return F.aggregate(pairs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 

@@ -43,7 +43,7 @@ def lines(df: DataFrame, keys: list[str], text: str = "text", sep: str = NEWLINE
 
 def json_depth(text: Column) -> Column:
     """Deepest nesting of brackets outside string literals."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
     marks = F.transform(F.filter(F.split(bare, ""), lambda c: F.length(c) > 0), lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1))
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
     return F.aggregate(marks, zero, lambda s, d: F.struct((s["now"] + d).alias("now"), F.greatest(s["top"], s["now"] + d).alias("top")), lambda s: s["top"])
@@ -134,7 +134,8 @@ def _last_wins(rows: DataFrame, keys: list[str], name: list[str], mode: str) ->
 def env_value(rest: Column) -> Column:
     """struct(value, code) of what follows a key's equals sign."""
     r = F.regexp_replace(rest, "^[ \t]+", "")
-    single, double = r"(?s)^'([^']*)'\s*(#.*)?$", r'(?s)^"((?:[^"\\]|\\.)*)"\s*(#.*)?$'
+    # Loops over groups are possessive: others recurse, and a long value would overflow the stack.
+    single, double = r"(?s)^'([^']*)'\s*(#.*)?$", r'(?s)^"((?:[^"\\]|\\.)*+)"\s*(#.*)?$'
     body = F.regexp_extract(r, double, 1)
     bad_escape = F.regexp_replace(body, r'\\[nt\\"]', "").rlike(r"\\")
     mark = F.lit("\x00")
