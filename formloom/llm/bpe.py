@@ -224,7 +224,7 @@ def encode(df: DataFrame, vocabulary: str, keep: list[str], text_col: str = "tex
         bpe = _bpe(spec)
 
         def each(texts):
-            ids = [bpe.encode(t.decode()) for t in texts]
+            ids = [bpe.encode(t.decode(errors="replace")) for t in texts]
             return [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
 
         return each
@@ -255,7 +255,7 @@ def digests(df: DataFrame, vocabulary: str, keep: list[str], text_col: str = "te
             n, a, b = [], [], []
             name = bpe.text_of
             for t in texts:
-                ids = bpe.encode(t.decode())
+                ids = bpe.encode(t.decode(errors="replace"))
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join(map(name.__getitem__, ids)).encode()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

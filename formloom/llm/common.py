@@ -34,6 +34,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables in the shared folder; for the end of a job, when its results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/formloom-llm")
+    path.getFileSystem(conf).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -83,7 +83,7 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
             dup += 1
         elif line.strip():
             seen.add(line)
-    return len(words), len(b"".join(words).decode()), len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(words)
+    return len(words), len(b"".join(words).decode(errors="replace")), len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(words)
 
 
 def _make():

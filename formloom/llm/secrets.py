@@ -90,7 +90,7 @@ def _make():
     def each(texts: list[bytes]) -> list[pa.Array]:
         counts, shas, cands = [[] for _ in BASE], [], []
         for t in texts:
-            found = candidates(t.decode())
+            found = candidates(t.decode(errors="replace"))
             for k, into in enumerate(counts):
                 into.append(sum(c[0] == k for c in found))
             base = listed(c[:3] for c in found if c[0] < len(BASE))

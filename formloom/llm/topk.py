@@ -20,8 +20,8 @@ k per query and ties. Ranks are taken at the end.
 Defined results: vectors that are null or hold null or non-finite components take no part;
 shorter vectors count as filled up with zeros; empty vectors score 0; repeated vec_ids are
 rows of their own, and only the query's own row is left out; ties go to the smaller vec_id;
-null vec_ids are candidates, last among ties, but no queries. Components are scored in 64-bit
-integers; beyond 2^53 products are summed exactly in Python and must fit a long.
+null vec_ids are candidates, last among ties, but no queries. Sums are exact whatever the
+components; components and scores beyond a long saturate.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ SCALE = 1024
 #: Segments at each resolution, coarse to fine.
 LEVELS = (1, 4, 16)
 BLOCK_ROWS, QUERY_ROWS = 8_192, 1_024
-_LOW = np.iinfo(np.int64).min
+_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 _SHAPE = "n int, dim int, width int, uids binary, ids binary, nulls binary, data binary"
 
 
@@ -85,7 +85,8 @@ def packed(df: DataFrame, id_col: str, vec_col: str, rows: int, uid: str) -> Dat
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(_block(held).columns().values(), types, strict=True)], names=[c.split()[0] for c in _SHAPE.split(", ")])
         for b in batches:
             lists = b.column(2)
-            flat = np.floor(np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64) * SCALE).astype(np.int64)
+            flat = np.floor(np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64) * SCALE)
+            flat = np.clip(flat, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
             ends = np.cumsum([0, *(len(v) for v in lists)])
             for i, (u, k) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 held.append((u, k, flat[ends[i] : ends[i + 1]]))
@@ -110,13 +111,17 @@ def _stats(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows of q with all rows of x."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    if top < 2**53:
+    """Integer inner products of all rows of q with all rows of x; what no long holds saturates."""
+    qm, xm = (np.abs(v.astype(np.float64)).max(axis=1, initial=0.0) for v in (q, x))
+    most = max(1, q.shape[1]) * qm.max(initial=0.0) * xm.max(initial=0.0)
+    if most < 2**53:
         return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    if top < 2**63:
-        return q @ x.T
-    return np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x] for u in q], dtype=np.int64).reshape(len(q), len(x))
+    out = q @ x.T
+    if most >= 2**63:
+        # Only pairs that might not fit are summed in Python's integers.
+        for i, j in np.argwhere(max(1, q.shape[1]) * qm[:, None] * xm[None, :] >= 2**63):
+            out[i, j] = min(_HIGH, max(_LOW, sum(int(a) * int(b) for a, b in zip(q[i], x[j], strict=True))))
+    return out
 
 
 def _fit(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

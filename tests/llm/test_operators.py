@@ -370,12 +370,19 @@ def test_topk_equals_brute_force(spark, sf_dir, block):
     want = Counter()
     for i, (q, a) in enumerate(rows_):
         if q is not None and q % 100 == 0:
-            s = sorted(((-sum(x * y for x, y in zip(a, b, strict=False)), v is None, v or 0) for j, (v, b) in enumerate(rows_) if j != i))[:10]
+            s = sorted(((-min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False))), v is None, v or 0) for j, (v, b) in enumerate(rows_) if j != i))[:10]
             want.update((q, k + 1, None if none else v, -d) for k, (d, none, v) in enumerate(s))
     got = topk.top_k(vectors, block_rows=block, query_rows=3)
     assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == want
 
 
+def test_exact_products_of_large_components():
+    rng = np.random.default_rng(1)
+    q, x = rng.integers(-9, 9, (5, 8)) * 10 ** rng.integers(0, 18, (5, 1)), rng.integers(-9, 9, (7, 8)) * 10 ** rng.integers(0, 18, (7, 1))
+    want = [[min(2**63 - 1, max(-(2**63), sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for v in x] for u in q]
+    assert topk._exact(q, x).tolist() == want
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(0)
     q, x = rng.integers(-900, 900, (20, 50)), rng.integers(-900, 900, (300, 50))
@@ -473,3 +480,19 @@ def test_held_out_labels_are_never_read(spark):
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     df = spark.createDataFrame([(i, f"text {i}", 1) for i in ids], "doc_id long, text string, quality int")
     assert quality_fm.train(df.select("doc_id", "text"), df.select("doc_id", "quality")) is None
+
+
+def test_texts_that_are_no_utf8_do_not_crash(spark):
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('61ff6220c328') AS string) AS text, 'en' AS lang, 'a' AS source")
+    for f in (lambda: bpe.digests(df, bpe.vocabulary(), ["doc_id"]), lambda: quality_rules.rate(df), lambda: simhash.near_duplicates(df), lambda: secrets.scan(df), lambda: licenses.scan(df), lambda: sharding.shard(df), lambda: mixing.plan(df)):
+        assert f().count() == 1
+
+
+def test_release_empties_the_shared_folder(spark):
+    from formloom.llm import common
+
+    t = common.written(spark.range(3), "t")
+    assert t.count() == 3
+    common.release(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        spark.read.parquet(t.inputFiles()[0].rpartition("/")[0]).count()
