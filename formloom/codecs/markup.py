@@ -116,7 +116,7 @@ def parse_yaml(text: str):
 
     tags = {f"tag:yaml.org,2002:{t}" for t in ("str", "int", "float", "bool", "null", "seq", "map")}
     try:
-        events = list(yaml.parse(text.removeprefix("﻿"), Loader=yaml.SafeLoader))
+        events = list(yaml.parse(text.removeprefix("﻿"), Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
     except yaml.YAMLError as e:
         raise FormatError("YAML_PARSE_ERROR", str(e)) from None
     require(sum(isinstance(e, yaml.DocumentStartEvent) for e in events) <= 1, "YAML_MULTI_DOCUMENT")
@@ -138,7 +138,7 @@ def parse_yaml(text: str):
         require(nodes <= MAX_NODES, "YAML_TOO_LARGE")
         require(e.tag is None or e.tag == "!" or e.tag in tags, "YAML_TAG", str(e.tag))
         if isinstance(e, yaml.ScalarEvent):
-            v = _tagged(e.value, (e.tag or "").rpartition(":")[2]) if e.tag and e.tag != "!" else plain(e.value) if e.implicit[0] and e.style is None and e.tag != "!" else e.value
+            v = _tagged(e.value, (e.tag or "").rpartition(":")[2]) if e.tag and e.tag != "!" else plain(e.value) if e.implicit[0] and not e.style and e.tag != "!" else e.value
         elif isinstance(e, yaml.SequenceStartEvent):
             v = []
             while not isinstance(events[at], yaml.SequenceEndEvent):
@@ -148,7 +148,7 @@ def parse_yaml(text: str):
             v = {}
             while not isinstance(events[at], yaml.MappingEndEvent):
                 require(isinstance(events[at], (yaml.ScalarEvent, yaml.AliasEvent)), "YAML_COMPLEX_KEY")
-                merge = isinstance(events[at], yaml.ScalarEvent) and events[at].style is None and events[at].value == "<<"
+                merge = isinstance(events[at], yaml.ScalarEvent) and not events[at].style and events[at].value == "<<"
                 require(not merge, "YAML_MERGE_KEY")
                 k = read(depth + 1)
                 require(not isinstance(k, (dict, list)), "YAML_COMPLEX_KEY")

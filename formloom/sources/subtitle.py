@@ -31,6 +31,11 @@ def _blocks(text: Column) -> Column:
     return F.filter(F.split(text, rf"(?:^|\n)(?:[^\S\n]*\n)++|\n[^\S\n]*$"), lambda b: F.length(tc.trimmed(b)) > 0)
 
 
+def _let(value: Column, f) -> Column:
+    """f of value, evaluated once: a lambda's body has no common subexpressions."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _result(df: DataFrame, keys: list[str], cues: Column, bad: Column, mode: str, code: str = "SUBTITLE_PARSE_ERROR") -> DataFrame:
     """cues (array of CUE) exploded; bad files as mode says."""
     if mode == "strict":
@@ -59,9 +64,9 @@ def parse_srt(df: DataFrame, keys: list[str], text: str = "text", mode: str = "s
     """Lines before a block's number are passed over; a number without a timing line fails the file."""
 
     def cue(b: Column) -> Column:
-        lines = F.split(b, "\n")
-        at = _first(lines, lambda s: tc.trimmed(s).rlike(r"^\d+$"))
-        timing = tc.trimmed(_line(lines, at + 1))
+        return _let(F.split(b, "\n"), lambda lines: _let(_first(lines, lambda s: s.rlike(rf"^{tc.BLANK}*\d+{tc.BLANK}*$")), lambda at: _let(tc.trimmed(_line(lines, at + 1)), lambda timing: timed(lines, at, timing))))
+
+    def timed(lines: Column, at: Column, timing: Column) -> Column:
         start = tc.srt_ms(F.regexp_extract(timing, "^(.*?) --> ", 1))
         end = tc.srt_ms(F.regexp_extract(timing, r"^.*? --> (\S*)", 1))
         return F.when(at > 0, F.struct(tc.trimmed(_line(lines, at)).alias("id"), start.alias("start_ms"), end.alias("end_ms"), tc.strip_srt(_rest(lines, at + 2)).alias("text")))
