@@ -118,3 +118,49 @@ count(*) AS n FROM (SELECT replace(html, '<!DOCTYPE', '') AS html FROM pages) GR
 def security_verdicts(spark, sf_dir):
     t = table(spark, sf_dir, "pages").select(F.replace("html", F.lit("<!DOCTYPE"), F.lit("")).alias("html"))
     return t.select(F.coalesce(security.svg_error(F.col("html")), F.lit("OK")).alias("error_code")).groupBy("error_code").agg(F.count("*").alias("n"))
+
+
+IMAGE_HEADS: list[tuple[str, bytes, str | None, str | None]] = [
+    ("pcx", b"\x0a\x05\x01\x08" + bytes(124), "pcx", None), ("short pcx", b"\x0a\x05\x01", None, None), ("icns", b"icns\0\0\0\x08", "icns", None), ("tiff", b"II*\0", "tiff", None), ("tiff be", b"MM\0*", "tiff", None),
+    ("ppm", b"P6 1 1", "ppm", None), ("xpm", b"/* XPM */", "xpm", None), ("xbm", b"#define a_width 1", "xbm", None), ("tga footer", bytes(8) + b"TRUEVISION-XFILE.\0", "tga", None),
+    ("tga 2", bytes(40) + b"TRUEVISION-XFILE.\0", "tga", None), ("tga header", bytes([0, 0, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 4, 0, 4, 0, 24, 0]), "tga", None), ("gif", b"GIF89a" + bytes(9), None, "gif"), ("apng", _png("IHDR", "acTL"), None, "apng"),
+    ("png", _png("IHDR", "IDAT"), None, None), ("webp", b"RIFF\0\0\0\0WEBPVP8X" + bytes(4) + b"\x02" + bytes(9), None, "webp"), ("still webp", b"RIFF\0\0\0\0WEBPVP8X" + bytes(14), None, None),
+]
+_TEXT = lambda v: "NULL" if v is None else f"'{v}'"
+
+
+@query("detect_images", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {_TEXT(i)}, {_TEXT(a)})" for n, _, i, a in IMAGE_HEADS) + ") AS t(name, image, animation)")
+def detect_images(spark, sf_dir):
+    df = spark.createDataFrame([(n, bytearray(b)) for n, b, _, _ in IMAGE_HEADS], "name string, content binary")
+    return df.select("name", detect.detect_image(F.col("content")).alias("image"), detect.detect_animation(F.col("content")).alias("animation"))
+
+
+_LINES = [("  Duration: 00:01:40.50, start: 0", 100.5, None), ("frame= 10 time=00:00:50.25 bitrate", None, 50.25), ("time=N/A", None, None), ("noise", None, None)]
+
+
+@query("transcoder_progress", "SELECT * FROM (VALUES " + ", ".join(f"('{line}', {d if d else 'NULL'}::DOUBLE, {t if t else 'NULL'}::DOUBLE)" for line, d, t in _LINES) + ") AS t(line, duration, reached)")
+def transcoder_progress(spark, sf_dir):
+    df = spark.createDataFrame([(x[0],) for x in _LINES], "line string")
+    return df.select("line", planner.progress_seconds(F.col("line"), "Duration:").alias("duration"), planner.progress_seconds(F.col("line"), "time=").alias("reached"))
+
+
+_ENTRY_NAMES = {"a/b": None, "../a": "ENTRY_NAME_TRAVERSAL", "a/../b": "ENTRY_NAME_TRAVERSAL", "a..b": None, "/a": "ENTRY_NAME_ABSOLUTE", "c:a": "ENTRY_NAME_DRIVE", "": "ENTRY_NAME_EMPTY", "a/..": "ENTRY_NAME_TRAVERSAL", "..": "ENTRY_NAME_TRAVERSAL"}
+
+
+@query("security_entry_names", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {_TEXT(e)})" for n, e in _ENTRY_NAMES.items()) + ") AS t(name, error_code)")
+def security_entry_names(spark, sf_dir):
+    df = spark.createDataFrame([(n,) for n in _ENTRY_NAMES], "name string")
+    return df.select("name", security.entry_name_error(F.col("name")).alias("error_code"))
+
+
+@query("codec_functions", """SELECT p_partkey, 'avc1.' || upper(printf('%02x%02x%02x', p_partkey % 256, p_size, 30)) AS avc, p_partkey % 10000 AS vint, 'mp4a.40.' || p_size % 32 AS aac,
+make_timestamp(1980 + p_size, 1 + p_partkey % 12, 1 + p_partkey % 28, p_partkey % 24, p_partkey % 60, (p_partkey % 30 * 2)::DOUBLE) AS stamp, p_partkey AS number FROM part""")
+def codec_functions(spark, sf_dir):
+    from formloom.functions import codecs as c
+
+    k, z = F.col("p_partkey"), F.col("p_size")
+    sps = F.unhex(F.format_string("67%02x%02x1e", k % 256, z))
+    coded = F.unhex(F.format_string("%06x", (k % 10_000 + (1 << 21))))
+    date, time = (z * 512 + (1 + k % 12) * 32 + 1 + k % 28).cast("int"), (k % 24 * 2048 + k % 60 * 32 + k % 30).cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", c.avc_string(sps).alias("avc"), c.vint(coded).alias("vint"), c.aac_string(F.unhex(F.format_string("%02x10", z % 32 * 8))).alias("aac"),
+                                               c.dos_timestamp(date, time).alias("stamp"), c.octal(F.concat(F.lpad(F.conv(k, 10, 8), 11, "0"), F.lit("\x00"))).alias("number"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from formloom.sinks.subtitle import by_file
+
 
 def build(rows: DataFrame, keys: list[str], order: str, make: Callable[[pd.DataFrame], bytes]) -> DataFrame:
     """keys and content: make gets a file's rows in order. A file is built in one task, as its bytes are one value."""
@@ -16,7 +18,7 @@ def build(rows: DataFrame, keys: list[str], order: str, make: Callable[[pd.DataF
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*key, make(f.sort_values(order, kind="stable"))]], columns=schema.names)
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return by_file(rows, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def save(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:

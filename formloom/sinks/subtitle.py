@@ -15,10 +15,19 @@ ASS_STYLES = ["Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour,
 ASS_EVENTS = ["[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"]
 
 
+def by_file(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows dealt by file to the session's number of shuffle partitions.
+
+    The grouping that follows needs this exchange anyway; asked for by number it is not coalesced,
+    as the work on a file's rows is heavy for their size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def joined(rows: DataFrame, keys: list[str], order: str, line: Column, sep: str) -> DataFrame:
     """keys and _t: the lines of each file in order, from one aggregation."""
     one = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(one, lambda x: x["l"]), sep).alias("_t"))
+    return by_file(rows, keys).groupBy(*keys).agg(F.array_join(F.transform(one, lambda x: x["l"]), sep).alias("_t"))
 
 
 def _id() -> Column:
@@ -30,7 +39,7 @@ def serialize_srt(cues: DataFrame, keys: list[str], order: str = "ordinal") -> D
     line = F.concat(tc.srt_time(F.col("start_ms")), F.lit(" --> "), tc.srt_time(F.col("end_ms")), F.lit("\n"), F.col("text"))
     one = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
     text = F.array_join(F.transform(one, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), x["l"])), "\n\n")
-    return cues.groupBy(*keys).agg(F.concat(text, F.lit("\n")).alias("text"))
+    return by_file(cues, keys).groupBy(*keys).agg(F.concat(text, F.lit("\n")).alias("text"))
 
 
 def serialize_vtt(cues: DataFrame, keys: list[str], order: str = "ordinal") -> DataFrame:

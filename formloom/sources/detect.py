@@ -70,16 +70,32 @@ def detect_subtitle(text: Column) -> Column:
             .when(t.rlike(r"(?m)^\d{1,2}:\d{2}:\d{2}[,.]\d{3}\s+-->\s+\d{1,2}:\d{2}:\d{2}[,.]\d{3}"), "application/x-subrip"))
 
 
-#: Magic of image files beyond the general table.
-IMAGE = [("tiff", "49492A00"), ("tiff", "4D4D002A"), ("icns", "69636E73"), ("qoi", "716F6966"), ("pcx", "0A05")]
+#: Magic of image files beyond the general table, and the last bytes of a TGA 2.0 file.
+IMAGE = [("icns", "69636E73"), ("qoi", "716F6966"), ("tiff", "49492A00"), ("tiff", "4D4D002A")]
+TGA_FOOTER = "54525545564953494F4E2D5846494C452E00"
 
 
 def detect_image(content: Column) -> Column:
-    """Still-image formats, those of the general table not among them."""
+    """Still-image formats that the general table leaves out, and those with a magic of their own; TGA by its footer or a plausible header."""
     h, text = F.hex(F.substring(content, 1, 64)), F.substring(content, 1, 64).cast("string")
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    byte = lambda i: F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int")
+    out = F.when(_at(h, 0, "0A") & F.substring(h, 3, 2).isin("00", "02", "03", "04", "05") & _at(h, 2, "01") & (F.octet_length(content) >= 128), "pcx")
     for ext, sig in IMAGE:
         out = out.when(_at(h, 0, sig), ext)
     for second, ext in NETPBM.items():
         out = out.when(_at(h, 0, "50" + second), ext)
-    return out.when(text.rlike(r"^/\* XPM \*/"), "xpm").when(text.rlike(r"^\s*#define\s+\S+_width\s"), "xbm")
+    footer = F.right(F.hex(content), F.lit(36))
+    out = out.when((F.octet_length(content) >= 26) & (footer == TGA_FOOTER), "tga")
+    out = out.when(text.rlike(r"^/\* XPM \*/"), "xpm").when(text.rlike(r"^\s*#define\s+\S+_width\s"), "xbm")
+    sides = (byte(12) + 256 * byte(13) > 0) & (byte(14) + 256 * byte(15) > 0)
+    plausible = (F.octet_length(content) >= 18) & byte(1).isin(0, 1) & byte(2).isin(1, 2, 3, 9, 10, 11) & byte(16).isin(8, 15, 16, 24, 32) & sides
+    return out.when(plausible, "tga")
+
+
+def detect_animation(content: Column) -> Column:
+    """gif, apng (a control chunk before the data) or webp (with its animation flag); still images give null."""
+    h = F.hex(F.substring(content, 1, HEAD))
+    moving = F.conv(F.substring(h, 41, 2), 16, 10).cast("int").bitwiseAND(2) != 0
+    return (F.when(F.octet_length(content) < 12, F.lit(None).cast("string")).when(_at(h, 0, "474946383761") | _at(h, 0, "474946383961"), "gif")
+            .when(_at(h, 0, "89504E470D0A1A0A"), F.when(_png_or_apng(h) == "apng", "apng"))
+            .when(_at(h, 0, "52494646") & _at(h, 8, "57454250") & _at(h, 12, "56503858") & moving, "webp"))

@@ -222,3 +222,13 @@ def test_svg():
     assert markup.parse_svg('<svg xmlns="http://www.w3.org/2000/svg" width="10px" viewBox="0 0 1 1"/>')[:3] == (10.0, None, "0 0 1 1")
     fails("SVG_SCRIPT", lambda: markup.parse_svg("<svg><SCRIPT/></svg>"))
     fails("SVG_EXTERNAL_HREF", lambda: markup.parse_svg("<svg><a href='http://x'/></svg>"))
+
+
+def test_dispatch(spark):
+    from formloom.sources.dispatch import parse
+
+    texts = {"csv": "a\n1\n", "tsv": "a\tb\n1\t2\n", "json": "[1]", "jsonl": "1\n2\n", "ini": "a=1", "env": "A=1", "toml": "a = 1", "yaml": "a: 1", "xml": "<a/>", "srt": "1\n00:00:01,000 --> 00:00:02,000\nx\n", "mpl": "[1][2]x"}
+    for fmt, s in texts.items():
+        assert parse(one(spark, s), fmt, ["file"]).count() == (2 if fmt == "jsonl" else 1), fmt
+    assert parse(one(spark, "ab\n"), "fwf", ["file"], columns=[text.FwfColumn("a", 0, 1)]).first().a == "a"
+    fails("UNSUPPORTED_FORMAT", lambda: parse(one(spark, ""), "nope", ["file"]))
