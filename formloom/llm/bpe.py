@@ -37,8 +37,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Characters at which str.split() separates though they are no White_Space.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
-#: Words and pairs kept by each worker before it starts afresh.
-CACHE = 400_000
+#: Entries of a generation of cached words or pairs; each worker keeps two generations.
+CACHE = 600_000
 #: Moves the last symbol of a word to code points of its own, as the suffix does in the vocabulary.
 _END = 0x4000
 
@@ -83,9 +83,8 @@ class Bpe:
             s = t if own is None else own[:-1] + chr(ord(own[-1]) + _END)
             self._suffixes.add_word(s, (ids[i], len(s)))
         self._suffixes.make_automaton()
-        self._pair: dict[tuple[int, int], bool] = {}
-        self._word: dict[str, tuple[int, ...]] = {}
-        self._chunk: dict[str, tuple[int, ...]] = _Filled(self._of_chunk)
+        self._pair: dict[int, bool] = {}
+        self._chunk: dict[str, tuple[int, ...]] = _Kept(self._of_chunk)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE leaves left and right side by side: undo their merges, latest first, and look for an earlier one across the border."""
@@ -108,7 +107,7 @@ class Bpe:
         """Ids of one pre-token."""
         symbols = word.encode().decode("latin-1").translate(self._alphabet)
         symbols = symbols[:-1] + chr(ord(symbols[-1]) + _END)
-        pair, fits = self._pair, self.fits
+        pair, fits = self._pair.get, self.fits
         last: list[int] = [-1] * (len(symbols) + 1)
         size: list[int] = [0] * (len(symbols) + 1)
         done = 0
@@ -119,9 +118,9 @@ class Bpe:
             if start := end - n:
                 if (before := last[start]) < 0:
                     continue
-                key = (before, token)
-                if (ok := pair.get(key)) is None:
-                    ok = pair[key] = fits(before, token)
+                key = before << 32 | token
+                if (ok := pair(key)) is None:
+                    ok = self._pair[key] = fits(before, token)
                 if not ok:
                     continue
             last[end], size[end], done = token, n, end
@@ -132,14 +131,14 @@ class Bpe:
         return tuple(ids[::-1])
 
     def _of_chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a run of text without white space. A piece is a chunk that is its own only piece, so both share the cache."""
         import unicodedata
 
-        out: list[int] = []
-        for piece in self._pieces(lowered(unicodedata.normalize("NFC", chunk))):
-            if (ids := self._word.get(piece)) is None:
-                ids = self._word[piece] = self.of_word(piece)
-            out += ids
-        return tuple(out)
+        pieces = self._pieces(chunk.lower() if chunk.isascii() else lowered(unicodedata.normalize("NFC", chunk)))
+        if len(pieces) == 1:
+            piece = pieces[0]
+            return self.of_word(piece) if piece == chunk else self._chunk[piece]
+        return tuple(chain.from_iterable([self._chunk[p] for p in pieces]))
 
     def _plain(self, text: str) -> list[int]:
         # No piece spans white space and every White_Space run separates, so chunks can be encoded one by one.
@@ -150,9 +149,10 @@ class Bpe:
         return list(chain.from_iterable(map(self._chunk.__getitem__, chunks)))
 
     def encode(self, text: str) -> list[int]:
-        for cache in (self._pair, self._word, self._chunk):
-            if len(cache) > CACHE:
-                cache.clear()
+        """Ids of a whole text."""
+        self._chunk.turn()
+        if len(self._pair) > CACHE:
+            self._pair.clear()
         if self._special and "<|" in text or self._special and not all(s.startswith("<|") for s in self.special):
             out: list[int] = []
             for part in self._special(text):
@@ -169,14 +169,22 @@ class Bpe:
         return " ".join([token[i] for i in ids if i in token])
 
 
-class _Filled(dict):
+class _Kept(dict):
+    """Values made on first use; at CACHE entries they become the old generation, from which those still in use come back."""
+
     def __init__(self, make):
-        self._make = make
+        self._make, self._old = make, {}
 
     def __missing__(self, key):
-        self[key] = out = self._make(key)
+        out = self._old.get(key)
+        self[key] = out = self._make(key) if out is None else out
         return out
 
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self._old = dict(self)
+            self.clear()
+
 
 @functools.cache
 def white_space():
