@@ -38,8 +38,18 @@ def arriving_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFra
 
 
 def arriving_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 8).parquet(sf_dir)
+    """A stream of the table's rows, be it a single file or a folder of part files.
+
+    All that has arrived is one batch: part files come in no order of time, and rows of a later
+    batch that lie behind the watermark of an earlier one would be dropped.
+    """
+    at = f"{sf_dir}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(at).schema)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(at)
+    # The source takes folders only: a single file is picked from its own.
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
