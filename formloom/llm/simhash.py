@@ -41,6 +41,10 @@ SAMPLE = 100_000
 #: Fingerprints a shard should hold, and those compared pairwise in a leaf.
 SHARD, LEAF = 8_192, 2_048
 _HALF = np.uint64(0xFFFFFFFF)
+#: The near-duplicates stage: words of a shingle, buckets a text is in, least hashes that a bucket stands for.
+WORDS, BANDS, ROWS = 5, 32, 4
+#: Least hashes, of all 128, that pairs must agree in to be compared; 102 are expected at a similarity of 0.8.
+AGREE = 77
 
 
 def fingerprint(text: bytes) -> int:
@@ -243,15 +247,123 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: bytes) -> np.ndarray:
+    """The set of a UTF-8 text's shingles of ``WORDS`` words, as sorted hashes."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    n = max(len(words) - WORDS + 1, min(1, len(words)))
+    joined = map(b" ".join, zip(*(words[k:] for k in range(WORDS)), strict=False)) if len(words) >= WORDS else [b" ".join(words)] * n
+    return np.unique(np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), np.uint64, n))
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets' Jaccard similarity is 0.8 or more, in whole numbers."""
+    if min(len(x), len(y)) * 5 < max(len(x), len(y)) * 4:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * both >= 4 * (len(x) + len(y) - both)
+
+
+def _sketches():
+    """Per text a number of its set of shingles, its buckets and a byte of each least hash."""
+    rng = np.random.default_rng(SEED)
+    flip, odd = rng.integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mix = rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def each(texts: list[bytes]) -> list[pa.Array]:
+        from xxhash import xxh3_64_intdigest
+
+        node, buckets, sig = [], [], []
+        for t in texts:
+            h = shingles(t)
+            node.append(xxh3_64_intdigest(h.tobytes()))
+            least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+            for at in range(0, len(h), 2048):
+                np.minimum(least, ((h[at : at + 2048] ^ flip) * odd).min(axis=1), out=least)
+            b = ((least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * mix).sum(axis=1, dtype=np.uint64)
+            buckets.append((b ^ mix[:, 0]).view(np.int64))
+            sig.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+        flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
+        return [pa.array(np.array(node, np.uint64).view(np.int64)), lists, pa.array(sig, pa.binary())]
+
+    return each
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are alike, compared shingle by shingle."""
+
+    def check(batches):
+        last = None, None
+        for batch in batches:
+            kept = []
+            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+            for i in range(len(a)):
+                if last[0] != b[i]:
+                    last = b[i], shingles(tb[i] or b"")
+                kept.append(alike(shingles(ta[i] or b""), last[1]))
+            yield pa.RecordBatch.from_arrays(list(batch.select([0, 1]).filter(pa.array(kept, pa.bool_())).columns), names=["a", "b"])
+
+    t = texts.withColumn("text", F.col("text").cast("binary"))
+    both = pairs.join(t.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+
+
+def _across(f: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a bucket that are not known to belong together and whose sketches agree well enough."""
+    sig = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), BANDS * ROWS)
+    node, root = f["node"].to_numpy(), f["root"].to_numpy()
+    out = [np.zeros((0, 2), np.int64)]
+    for i in range(len(f) - 1):
+        far = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        far = far[(sig[far] == sig[i]).sum(axis=1) >= AGREE]
+        out.append(np.stack([np.maximum(node[far], node[i]), np.minimum(node[far], node[i])], axis=1))
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+
+def alike_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) of the sets of shingles that have another at ``alike`` distance, over chains of such pairs.
+
+    rows: _k and text; nodes: a written table of node, _k, buckets and sig, a row per set. Each
+    bucket's members are first compared with its least one; what then lies in one group
+    already needs no more comparison, and all other pairs of a bucket are compared too.
+    """
+    member = nodes.select("node", F.explode("buckets").alias("bucket"))
+    least = member.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
+    shared = written(member.join(least, "bucket"), "buckets")
+    first = written(shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "_k"), "node")
+    texts = written(rows.join(wanted, "_k").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    sure = written(_verified(first, texts), "alike")
+    found = components(sure).withColumnsRenamed({"node": "member", "root": "top"})
+    placed = shared.join(found, F.col("node") == F.col("member"), "left").select("bucket", "node", F.coalesce("top", "node").alias("root"))
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    left = placed.join(mixed, "bucket", "left_semi").join(nodes.select("node", "sig"), "node")
+    more = left.groupBy("bucket").applyInPandas(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    return components(sure.unionByName(_verified(written(more, "pairs"), texts)))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with the columns docs came with."""
+    """One document of each group of near-duplicates, the one with the least doc_id, with the columns docs came with.
+
+    Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8
+    or more, and chains of such texts. Candidates share one of ``BANDS`` buckets of ``ROWS`` least
+    hashes: a pair at exactly 0.8 shares none with a chance of 5 in 10^8. Texts of fewer words
+    are a single shingle; null and empty texts are one group.
+    """
     aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     own = docs.withColumnsRenamed(aside)
     doc_id, text = F.col(aside["doc_id"]), F.col(aside["text"])
     own = own.withColumn("_k", row_key(doc_id, text))
-    keyed = own.select("_k", doc_id.alias("doc_id"), text.alias("_text"))
-    rows = written(fingerprints(keyed, ["_k", "doc_id"], "_text"), "simhash")
-    # Nulls come last, so that a null id stays only where the component has no other.
-    first = grouped(rows).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k"))["_k"].alias("_k"))
+    keyed = own.select("_k", doc_id.alias("doc_id"), text.alias("text"))
+    fields = [T.StructField("node", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
+    sketched = map_texts(keyed, "text", ["_k", "doc_id"], fields, _sketches)
+    # Nulls come last, so that a null id stays only where the group has no other.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k")).alias("best")
+    nodes = written(sketched.groupBy("node").agg(best, F.first("buckets").alias("buckets"), F.first("sig").alias("sig")).withColumn("_k", F.col("best._k")), "sketches")
+    groups = alike_groups(keyed.select("_k", "text"), nodes)
+    first = nodes.select("node", "best").join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("top")).agg(F.min("best")["_k"].alias("_k"))
     once = F.row_number().over(Window.partitionBy("_k").orderBy("_k"))
     return own.join(first.select("_k"), "_k", "left_semi").withColumn("_n", once).where("_n = 1").select(*[F.col(v).alias(c) for c, v in aside.items()])
