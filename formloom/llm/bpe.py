@@ -11,6 +11,10 @@ Vocabulary: a tokenizers JSON file of a word BPE (byte-level symbols, an end-of-
 white space dropped, NFC and lower case). The file is read on the driver and sent to the
 executors (its size is that of the vocabulary), so executors need no copy.
 
+Caches are bounded in entries and in the length of what they hold, so a worker's memory does
+not follow the corpus or its longest text. A vocabulary that lacks a byte is refused
+(ValueError), as some words would have no encoding.
+
 Defined results: null and empty texts have no tokens; white space alone has none; the strings
 of special tokens in a text become those tokens; repeated rows each get their row; other
 columns pass through untouched.
@@ -21,6 +25,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
+import sys
+import unicodedata
 from itertools import chain
 
 import pandas as pd
@@ -31,14 +38,26 @@ from pyspark.sql import types as T
 
 from formloom.llm.common import map_texts
 
-#: Fixed value: the pre-tokenizer's pattern. Its classes are those of the regex module, whose
-#: Unicode tables may be a version newer than the tokenizer's; only characters new there differ.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Fixed value: the pre-tokenizer's pattern; {L}, {N} and {S} stand for letters, numbers and White_Space.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
+#: Unicode's White_Space characters.
+WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters at which str.split() separates though they are no White_Space.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
-#: Entries of a generation of cached words or pairs; each worker keeps two generations.
-CACHE = 600_000
+#: The tokenizer's tables where they differ from Python's (15.1). Its letters and
+#: numbers are those of Unicode 16.0, which has these more,
+LETTERS_16 = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: its lower case is that of 17.0 (from, to, code points in a row),
+LOWER_17 = [(0x1C89, 0x1C8A, 1), (0xA7CB, 0x264, 1), (0xA7CC, 0xA7CD, 1), (0xA7CE, 0xA7CF, 1), (0xA7D2, 0xA7D3, 1), (0xA7D4, 0xA7D5, 1), (0xA7DA, 0xA7DB, 1), (0xA7DC, 0x19B, 1), (0x10D50, 0x10D70, 22), (0x16EA0, 0x16EBB, 25)]
+#: and its NFC is older: these marks neither move nor join what stands before them.
+NO_MARKS = ("7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 11938 1193D-1193E 11943 119E0 11A34 11A47 11A99 "
+            "11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF")
+
+#: Entries of a generation of cached chunks or pairs, and characters of a cached chunk at most.
+#: Each worker keeps two generations of chunks; longer ones are encoded anew each time.
+CACHE, CACHED_CHARS = 600_000, 64
 #: Moves the last symbol of a word to code points of its own, as the suffix does in the vocabulary.
 _END = 0x4000
 
@@ -50,21 +69,51 @@ def byte_alphabet() -> list[str]:
     return [chr(b) for _, b in sorted([*((b, b) for b in plain), *((b, 0x100 + k) for k, b in enumerate(rest))])]
 
 
+def _ranges(listed: str) -> str:
+    """Hexadecimal ranges as the inside of a character class."""
+    return "".join("-".join(f"\\U{int(end, 16):08x}" for end in part.split("-")) for part in listed.split())
+
+
+@functools.cache
+def pieces():
+    """The pre-tokenizer's pattern over Python's own Unicode categories and the code points of ``LETTERS_16`` and ``NUMBERS_16``."""
+
+    def listed(category: str) -> str:
+        inside = [unicodedata.category(chr(c))[0] == category for c in range(sys.maxunicode + 1)]
+        edges = [c for c in range(len(inside) + 1) if (c < len(inside) and inside[c]) != (c > 0 and inside[c - 1])]
+        return " ".join(f"{a:x}-{b - 1:x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+    return re.compile(PIECES.replace("{S}", WHITE_SPACE).replace("{L}", _ranges(f"{listed('L')} {LETTERS_16}")).replace("{N}", _ranges(f"{listed('N')} {NUMBERS_16}")))
+
+
+_no_marks = re.compile(f"([{_ranges(NO_MARKS)}])")
+_lower = {a + k: b + k for a, b, n in LOWER_17 for k in range(n)}
+_to_lower = re.compile(f"[{''.join(map(chr, _lower))}]")
+
+
+def checked(spec: dict) -> dict:
+    """spec, if its vocabulary holds every byte, also as a word's last symbol; else some words would have no tokens at all."""
+    vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+    lacking = [b for b, c in enumerate(byte_alphabet()) if c not in vocab or c + suffix not in vocab]
+    if lacking:
+        raise ValueError(f"the vocabulary has no symbol for the bytes {lacking}")
+    return spec
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary; spec is the parsed tokenizers JSON."""
 
     def __init__(self, spec: dict):
         import ahocorasick
-        import regex
 
-        model = spec["model"]
+        model = checked(spec)["model"]
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         self.text_of = {i: str(i) for i in self.token}
         self._alphabet = str.maketrans({b: c for b, c in enumerate(byte_alphabet())})
-        self._pieces = regex.compile(PIECES).findall
-        self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self._pieces = pieces().findall
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         ids = {i: i for i in vocab.values()}  # one int object for each id
         self._made: dict[tuple[int, int], int] = {}
         self._parts: dict[int, tuple[int, int]] = {}
@@ -120,6 +169,8 @@ class Bpe:
                     continue
                 key = before << 32 | token
                 if (ok := pair(key)) is None:
+                    if len(self._pair) >= CACHE:
+                        self._pair.clear()
                     ok = self._pair[key] = fits(before, token)
                 if not ok:
                     continue
@@ -132,13 +183,11 @@ class Bpe:
 
     def _of_chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a run of text without white space. A piece is a chunk that is its own only piece, so both share the cache."""
-        import unicodedata
-
-        pieces = self._pieces(chunk.lower() if chunk.isascii() else lowered(unicodedata.normalize("NFC", chunk)))
-        if len(pieces) == 1:
-            piece = pieces[0]
+        found = self._pieces(chunk.lower() if chunk.isascii() else lowered(normal(chunk)))
+        if len(found) == 1:
+            piece = found[0]
             return self.of_word(piece) if piece == chunk else self._chunk[piece]
-        return tuple(chain.from_iterable([self._chunk[p] for p in pieces]))
+        return tuple(chain.from_iterable([self._chunk[p] for p in found]))
 
     def _plain(self, text: str) -> list[int]:
         # No piece spans white space and every White_Space run separates, so chunks can be encoded one by one.
@@ -150,9 +199,6 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        self._chunk.turn()
-        if len(self._pair) > CACHE:
-            self._pair.clear()
         if self._special and "<|" in text or self._special and not all(s.startswith("<|") for s in self.special):
             out: list[int] = []
             for part in self._special(text):
@@ -176,26 +222,34 @@ class _Kept(dict):
         self._make, self._old = make, {}
 
     def __missing__(self, key):
+        if len(key) > CACHED_CHARS:
+            return self._make(key)
         out = self._old.get(key)
-        self[key] = out = self._make(key) if out is None else out
-        return out
-
-    def turn(self) -> None:
-        if len(self) > CACHE:
+        out = self._make(key) if out is None else out
+        if len(self) >= CACHE:
             self._old = dict(self)
             self.clear()
+        self[key] = out
+        return out
 
 
 @functools.cache
 def white_space():
-    """Runs of Unicode's White_Space characters (fixed values)."""
-    import regex
+    """Runs of Unicode's White_Space characters."""
+    return re.compile(f"[{WHITE_SPACE}]+")
+
 
-    return regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+def normal(text: str) -> str:
+    """NFC by the tokenizer's tables; what stands between marks unknown to it is normalised part by part."""
+    if _no_marks.search(text):
+        return "".join(part if i % 2 else unicodedata.normalize("NFC", part) for i, part in enumerate(_no_marks.split(text)))
+    return unicodedata.normalize("NFC", text)
 
 
 def lowered(text: str) -> str:
     """Lower case of each character by itself: a final sigma has no form of its own."""
+    if _to_lower.search(text):
+        text = text.translate(_lower)
     return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
 
@@ -209,7 +263,9 @@ def vocabulary() -> str:
 def _loaded(spark: SparkSession, path: str):
     """The vocabulary as a broadcast: its size is fixed by the file."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        text = f.read()
+    checked(json.loads(text))
+    return spark.sparkContext.broadcast(text)
 
 
 _workers: dict[int, Bpe] = {}
