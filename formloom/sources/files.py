@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from formloom.codecs import animation, archive, audio, ebml, image, markup, mp4, ogg, ts
 from formloom.errors import FormatError
+from formloom.session import small_batches
 
 ENTRY = "name string, is_directory boolean, size long, method string, crc32 long, modified timestamp_ntz, data binary"
 IMAGE = "width int, height int, channels int, bit_depth int, pixels binary, note string"
@@ -87,7 +88,7 @@ def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
 def read(df: DataFrame, fmt: str, keys: list[str], content: str = "content", mode: str = "strict", batch: int = 1_000) -> DataFrame:
     """keys, the format's columns and error_code."""
     ddl, rows = FORMATS[fmt]
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    small_batches(df.sparkSession)
     src = df.select(*keys, F.col(content).cast("binary").alias("_content"))
     own = T.StructType.fromDDL(ddl)
     schema = T.StructType([*[src.schema[k] for k in keys], *own.fields, T.StructField("error_code", T.StringType())])

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from formloom.session import shared_dir
 from formloom.sources.detect import detect_with_hint
 
 
 def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or '/tmp/checkpoints/formloom').rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, folder: str | None = None, mode: str = "append") -> DataFrame:
