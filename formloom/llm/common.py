@@ -1,50 +1,85 @@
-"""What the training-data operators share: written intermediate tables, row keys, Arrow batches."""
+"""What the training-data operators share: written intermediate tables, row keys and numbers, Arrow batches."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from formloom.session import shared_dir, small_batches
+
 #: White space that separates words in the contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Used only where the session names no shared folder (single-machine runs and tests).
-LOCAL_DEFAULT = "/tmp/checkpoints/formloom"
+#: This driver's tables lie in a folder of their own, so that jobs that share a folder do not meet.
+_JOB = uuid.uuid4().hex
+#: Rows of a stretch of consecutive row numbers (see ``numbered``), as a power of two.
+STRETCH_BITS = 14
+_at: ContextVar[str | None] = ContextVar("formloom_work", default=None)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session's spark.checkpoint.dir names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_DEFAULT).rstrip("/")
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{_at.get() or f'{shared_dir(spark)}/formloom-llm/{_JOB}'}/{tag}-{uuid.uuid4().hex}"
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/formloom-llm/{tag}-{uuid.uuid4().hex}"
+def _reread(df: DataFrame, path: str) -> DataFrame:
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and any executor can reread it."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _reread(df, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all intermediate tables in the shared folder; for the end of a job, when its results are written."""
+def settled(spark: SparkSession, tag: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows as a written table; the tables that make writes on its way are deleted."""
+    path, work = fresh_path(spark, tag), fresh_path(spark, f"{tag}-work")
+    outer = _at.set(work)
+    try:
+        df = make()
+        df.write.parquet(path)
+    finally:
+        _at.reset(outer)
+        delete(spark, work)
+    return _reread(df, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/formloom-llm")
-    path.getFileSystem(conf).delete(path, True)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this driver wrote in the shared folder; for the end of a job, when its results are read."""
+    delete(spark, f"{shared_dir(spark)}/formloom-llm/{_JOB}")
+
+
+def content_hash(df: DataFrame) -> Column:
+    """A hash over all columns of a row, whatever their types, to order rows by content; it never decides that rows are equal."""
+    return F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def numbered(rows: DataFrame, keys: list[str], rid: str, to: str) -> DataFrame:
+    """rows with a gapless number from 0 within keys, in the order of rid.
+
+    rid must be stored and come from monotonically_increasing_id, so that a stretch of
+    2 ** ``STRETCH_BITS`` numbers holds no more rows than that: rows are counted by stretch,
+    the counts are summed up, and rows are numbered inside their stretch. No key is hot.
+    """
+    b = rows.withColumn("_stretch", F.shiftright(rid, STRETCH_BITS))
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = b.groupBy(*keys, "_stretch").agg(F.count("*").alias("_c")).withColumn("_ahead", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(rid)) - 1
+    return b.withColumn("_i", inside).join(ahead, [*keys, "_stretch"]).withColumn(to, (F.col("_ahead") + F.col("_i")).cast("long")).drop("_ahead", "_i", "_stretch")
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -63,15 +98,17 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
     (null: empty) and gives one Arrow array per field.
     """
     small_batches(df.sparkSession)
-    # The text goes under a name of its own, so that kept columns of any name do not clash.
-    src = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("t"))
-    n = len(keep)
+    # Columns go under names of their own, so that kept columns of any name do not clash. A text that is kept is moved once.
+    own = text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType)
+    text = [] if own else [F.col(f"`{text_col}`").cast("string").alias("t")]
+    src = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *text)
+    n, at = len(keep), keep.index(text_col) if own else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for b in batches:
             if b.num_rows:
-                texts = [x or b"" for x in b.column(n).cast(pa.large_binary() if pa.types.is_large_string(b.column(n).type) else pa.binary()).to_pylist()]
+                texts = [x or b"" for x in b.column(at).cast(pa.large_binary() if pa.types.is_large_string(b.column(at).type) else pa.binary()).to_pylist()]
                 made = each(texts)
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=[*[f"k{i}" for i in range(n)], *[f"f{i}" for i in range(len(made))]])
 

@@ -76,15 +76,17 @@ WITH d AS (
 ), lv AS (
   SELECT rest AS r, weights AS ws FROM k WHERE NOT capped ORDER BY ratio, source NULLS LAST LIMIT 1
 ), t AS (
-  SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * lv.r)::DOUBLE / lv.ws::DOUBLE END AS target FROM k LEFT JOIN lv ON true
+  SELECT source, source_size, weight, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * lv.r)::DOUBLE / lv.ws::DOUBLE END AS target FROM k LEFT JOIN lv ON true
 ), p AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, weight, target,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, (CASE WHEN size = 0 THEN 0 ELSE least(3, greatest(0, ceil((target - start - size / 2) / source_size))) END)::INT AS copies, (start + size / 2) / target AS x FROM p
 )
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN size = 0 THEN 0 ELSE size * least(3, greatest(0, ceil((target - start - size / 2) / source_size))) END)::BIGINT AS taken
-FROM p
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies,
+  CASE WHEN copies > 0 THEN round(CASE weight WHEN 1 THEN 1.5 - sqrt(2.25 - 2 * x) WHEN 2 THEN x ELSE sqrt(0.25 + 2 * x) - 0.5 END, 6) END AS first_position
+FROM c
 """
 
 ORACLES["op8_topk"] = """

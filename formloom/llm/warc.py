@@ -123,6 +123,7 @@ class ZipReader:
                 raise ValueError("no ZIP64 end record")
             count, length, at = struct.unpack_from("<QQQ", end64, 32)
         self.members = dict(self._directory(self._read(at, length), count))
+        self._starts: dict[str, tuple[int, int]] = {}
 
     def _read(self, at: int, n: int) -> bytes:
         self.f.seek(at)
@@ -154,7 +155,9 @@ class ZipReader:
             at = stop + comment_n
 
     def start(self, name: str) -> tuple[int, int]:
-        """Where a stored member's bytes begin, and how many there are."""
+        """Where a stored member's bytes begin, and how many there are; its local header is read once."""
+        if name in self._starts:
+            return self._starts[name]
         method, stored, place = self.members[name]
         if method:
             raise ValueError(f"{name} is compressed, so it has no ranges")
@@ -162,7 +165,8 @@ class ZipReader:
         if head[:4] != LOCAL:
             raise ValueError("bad local header")
         n, extra = struct.unpack_from("<HH", head, 26)
-        return place + 30 + n + extra, stored
+        self._starts[name] = place + 30 + n + extra, stored
+        return self._starts[name]
 
     def range(self, name: str, offset: int, length: int) -> bytes:
         at, stored = self.start(name)
@@ -181,9 +185,9 @@ def _files(path: str):
 
 
 def typed(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload, sha (hex) and refers_to, the group's largest page_id (null for a lone or short payload)."""
+    """page_id, url, payload, sha (SHA-256, for equality) and refers_to, the group's largest page_id (null for a lone or short payload)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    p = p.withColumn("sha", F.sha1("payload"))
+    p = p.withColumn("sha", F.sha2("payload", 256))
     # Only digests are grouped; payloads meet their group's figures once, in a join that AQE can split.
     groups = p.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     return p.join(groups.withColumn("many", F.lit(True)), "sha", "left").withColumn("many", F.coalesce("many", F.lit(False)))
@@ -225,7 +229,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
         if index:
             yield close()
 
-    return written(typed(pages, least).select("page_id", "url", "payload", "refers_to", "many").mapInPandas(put, "path string, records long"), "manifest")
+    return written(typed(pages, least).select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"), "many").mapInPandas(put, "path string, records long"), "manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
