@@ -159,6 +159,6 @@ def filtered(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     limits = written(fences(written(sketches(signals(docs, ["lang", "source"])), "sketch"), min_group), "fences")
     # Columns of the input that share a name with a signal are put aside and come back at the end.
     aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    rows = signals(docs.withColumnsRenamed(aside).withColumn("_text", F.col(aside["text"])), list(aside.values()), "_text")
+    rows = signals(docs.withColumnsRenamed(aside), list(aside.values()), aside["text"])
     out = judged(rows, limits, aside["lang"], aside["source"]).where("kept")
     return out.select(*[F.col(v).alias(c) for c, v in aside.items()])

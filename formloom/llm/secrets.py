@@ -2,17 +2,19 @@ r"""Secret scans with corpus-wide ownership frequency.
 
 Each whole text is scanned once for the base kinds (assign, access, hex) and for the kinds
 that this method adds (``ADDED``). Every candidate's value is hashed; the hashes are
-aggregated over the corpus by distinct repositories and distinct owners. A value that at
-least ``EXAMPLE_OWNERS`` owners carry is an example that was copied around; any other value
-that looks random is owner-specific and live-looking. Base spans stay whatever their class;
-an added span counts only while its value is owner-specific.
+aggregated over the corpus by distinct repositories and distinct owners. A value is a widely
+copied example when ``EXAMPLE_OWNERS`` owners carry it, or when ``FEW_OWNERS`` do in
+``EXAMPLE_REPOS`` repositories; a value that one owner repeats in any number of repositories
+stays that owner's. Any other value that looks random is owner-specific and live-looking. Base
+spans stay whatever their class; an added span counts only while its value is owner-specific.
 
 Only candidates (hash, owner, repository) are shuffled, pre-aggregated to distinct triples
 before a value's owners meet, so a value that a third of all documents carry stays cheap.
 
 Defined results: null texts count as empty; positions are code points, end exclusive; spans
-that coincide are all listed; repeated rows each get their row; a null owner counts as one
-owner of its own; an empty table gives an empty one.
+that coincide are all listed; repeated rows each get their row; a null owner is one owner of
+its own, apart from an empty name, and likewise a null repository; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -20,16 +22,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from functools import reduce
-from operator import or_
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formloom.llm.common import map_texts, row_key, written
+from formloom.llm.common import map_texts, written
 
 _ASCII = re.ASCII
 #: The base kinds in the order listed: name, pattern, group of the value, least length of that group.
@@ -50,15 +50,11 @@ ADDED = [
     ("url", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/:@]{6,128})@", _ASCII), 1, 6),
 ]
 KINDS = [k for k, *_ in (*BASE, *ADDED)]
-#: Owners that must carry a value before it counts as a copied example.
+#: Owners that must carry a value before it counts as a copied example; or fewer, but in so many repositories.
 EXAMPLE_OWNERS = 5
+FEW_OWNERS, EXAMPLE_REPOS = 3, 10
 #: Bits per character above which a value looks random.
 LIVE_BITS = 2.5
-#: Any text with a candidate holds one of these: literal parts, or a match of a short pattern
-#: (Java syntax). Literals are far cheaper than a pattern with as many alternatives.
-PARTS = ["AKIA", "PRIVATE KEY", "eyJ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "k_live_", "://"]
-HINTS = ["(?i)passw|secret|token|api_?key", "[0-9a-f]{32}"]
-
 _CAND = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()),
                                   T.StructField("vs", T.IntegerType()), T.StructField("ve", T.IntegerType()), T.StructField("hash", T.BinaryType()), T.StructField("random", T.BooleanType())]))
 FIELDS = [*[T.StructField(f"n_{k}", T.LongType()) for k, *_ in BASE], T.StructField("base_sha256", T.StringType()), T.StructField("cands", _CAND)]
@@ -108,33 +104,37 @@ def scanned(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
 
 
 def ownership(cands: DataFrame, owner: str, repo: str) -> DataFrame:
-    """For each value's hash: n_owners and n_repos that carry it."""
-    own = cands.select("hash", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("o"), F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("r")).distinct()
-    by_owner = own.groupBy("hash", "o").agg(F.count("*").alias("n"))
+    """For each value's hash: n_owners and n_repos that carry it; nulls count as one more of each."""
+    own = cands.select("hash", F.col(owner).alias("o"), F.col(repo).alias("r")).distinct()
+    owners = own.groupBy("hash", "o").agg(F.count("*")).groupBy("hash").agg(F.count("*").alias("n_owners"))
     repos = own.select("hash", "r").distinct().groupBy("hash").agg(F.count("*").alias("n_repos"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners")).join(repos, "hash")
+    return owners.join(repos, "hash")
 
 
-def classed(rows: DataFrame, key: str, owner: str, repo: str, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def classed(rows: DataFrame, key: str, owner: str, repo: str) -> DataFrame:
     """One row per candidate: key, kind, s, e, vs, ve, n_owners, n_repos and class (example, live or weak)."""
     c = rows.select(key, owner, repo, F.explode("cands").alias("c")).select(key, owner, repo, "c.*")
     c = c.join(ownership(c, owner, repo), "hash")
-    return c.withColumn("class", F.when(F.col("n_owners") >= example_owners, "example").when(F.col("random"), "live").otherwise("weak"))
+    copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | ((F.col("n_owners") >= FEW_OWNERS) & (F.col("n_repos") >= EXAMPLE_REPOS))
+    return c.withColumn("class", F.when(copied, "example").when(F.col("random"), "live").otherwise("weak"))
 
 
 def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFrame:
-    """doc_id, base counts, base_sha256, spans and the numbers of live and example spans of each document."""
+    """doc_id, base counts, base_sha256, spans, the numbers of live and example spans, and the most owners and repositories of a span's value.
+
+    Where documents name no repository, each is one.
+    """
     named = docs.select(F.col("doc_id"), F.col(owner).alias("_owner"), F.col(repo).alias("_repo"), F.monotonically_increasing_id().alias("_rid"), F.col("text"))
     rows = written(scanned(named, ["doc_id", "_owner", "_repo", "_rid"]), "secrets")
     c = classed(rows.where(F.size("cands") > 0), "_rid", "_owner", "_repo")
     c = c.where((F.col("kind") < len(BASE)) | (F.col("class") == "live"))
     got = F.sort_array(F.collect_list(F.struct("s", "kind", "e")))
-    per = c.groupBy("_rid").agg(got.alias("all"), F.count_if(F.col("class") == "live").alias("n_live"), F.count_if(F.col("class") == "example").alias("n_example"))
+    per = c.groupBy("_rid").agg(got.alias("all"), F.count_if(F.col("class") == "live").alias("n_live"), F.count_if(F.col("class") == "example").alias("n_example"), F.max("n_owners").alias("max_owners"), F.max("n_repos").alias("max_repos"))
     text = F.array_join(F.transform("all", lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
-    per = per.select("_rid", text.alias("spans"), "n_live", "n_example")
-    out = rows.join(per, "_rid", "left")
+    figures = ["n_live", "n_example", "max_owners", "max_repos"]
+    out = rows.join(per.select("_rid", text.alias("spans"), *figures), "_rid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", *[f"n_{k}" for k, *_ in BASE], "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"))
+    return out.select("doc_id", *[f"n_{k}" for k, *_ in BASE], "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), *map(zero, figures))
 
 
 def _cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
@@ -148,35 +148,28 @@ def _cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def hinted(text: Column) -> Column:
-    """Whether a text may hold a candidate."""
-    return F.coalesce(reduce(or_, [*[F.contains(text, F.lit(p)) for p in PARTS], *[text.rlike(p) for p in HINTS]]), F.lit(False))
-
-
 def redacted(docs: DataFrame, owner: str = "source", repo: str = "doc_id", mark: str = "[secret]") -> DataFrame:
     """docs with each value that is not a widely copied example replaced by mark; n_chars follows where it is a column.
 
-    Texts without any hint of a secret pass straight through; only the few others meet their
-    classed candidates.
+    Texts are scanned once, and written with their candidates and a row number; rows without
+    candidates then pass straight through, and only the few others meet their classes.
     """
     aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    own = docs.withColumnsRenamed(aside)
+    own = docs.withColumnsRenamed(aside).withColumn("_rid", F.monotonically_increasing_id())
     text = F.col(aside["text"])
-    some = own.where(hinted(text)).withColumn("_k", row_key(F.col(aside["doc_id"]), text))
-    named = some.select("_k", F.col(aside[owner]).alias("_owner"), F.col(aside[repo]).alias("_repo"), text.alias("_text"))
-    rows = written(scanned(named, ["_k", "_owner", "_repo"], "_text").where(F.size("cands") > 0).select("_k", "_owner", "_repo", "cands"), "secrets")
-    # Rows with the same key have the same text, so one row's candidates serve them all.
-    c = classed(rows, "_k", "_owner", "_repo").where("class <> 'example'")
-    cuts = c.groupBy("_k").agg(F.collect_set(F.struct("vs", "ve")).alias("_cuts"))
+    rows = written(scanned(own, [*aside.values(), "_rid"], aside["text"]).drop("base_sha256", *[f"n_{k}" for k, *_ in BASE]), "secrets")
+    some = rows.where(F.size("cands") > 0)
+    c = classed(some.select("_rid", F.col(aside[owner]).alias("_owner"), F.col(aside[repo]).alias("_repo"), "cands"), "_rid", "_owner", "_repo").where("class <> 'example'")
+    cuts = c.groupBy("_rid").agg(F.collect_set(F.struct("vs", "ve")).alias("_cuts"))
 
     @F.pandas_udf(T.StringType())
     def cut(t: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([_cut(x, [(c["vs"], c["ve"]) for c in s], mark) for x, s in zip(t, cuts, strict=True)], dtype=object)
 
-    met = some.join(cuts, "_k", "left")
-    clean = met.where("_cuts IS NULL").drop("_cuts", "_k")
-    mended = met.where("_cuts IS NOT NULL").withColumn(aside["text"], cut(text, F.col("_cuts"))).drop("_cuts", "_k")
+    met = some.drop("cands").join(cuts, "_rid", "left")
+    clean = met.where("_cuts IS NULL").drop("_cuts")
+    mended = met.where("_cuts IS NOT NULL").withColumn(aside["text"], cut(text.cast("string"), F.col("_cuts"))).drop("_cuts")
     if "n_chars" in aside:
-        mended = mended.withColumn(aside["n_chars"], F.char_length(text).cast(own.schema[aside["n_chars"]].dataType))
-    out = own.where(~hinted(text)).unionByName(clean).unionByName(mended)
+        mended = mended.withColumn(aside["n_chars"], F.char_length(text).cast(rows.schema[aside["n_chars"]].dataType))
+    out = rows.where(F.size("cands") == 0).drop("cands").unionByName(clean).unionByName(mended)
     return out.select(*[F.col(v).alias(c) for c, v in aside.items()])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formloom.llm.common import map_texts, row_key, written
+from formloom.llm.common import content_hash, map_texts, row_key, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -351,12 +351,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8
     or more, and chains of such texts. Candidates share one of ``BANDS`` buckets of ``ROWS`` least
     hashes: a pair at exactly 0.8 shares none with a chance of 5 in 10^8. Texts of fewer words
-    are a single shingle; null and empty texts are one group.
+    are a single shingle; null and empty texts are one group. Of rows with the same doc_id the
+    one with the least key over all columns stays, whatever the partitions.
     """
     aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     own = docs.withColumnsRenamed(aside)
     doc_id, text = F.col(aside["doc_id"]), F.col(aside["text"])
-    own = own.withColumn("_k", row_key(doc_id, text))
+    # Rows of one key agree in every column that can be hashed, so it does not matter which of them stays.
+    own = own.withColumn("_k", F.concat_ws(":", row_key(doc_id, text), content_hash(own).cast("string")))
     keyed = own.select("_k", doc_id.alias("doc_id"), text.alias("text"))
     fields = [T.StructField("node", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
     sketched = map_texts(keyed, "text", ["_k", "doc_id"], fields, _sketches)

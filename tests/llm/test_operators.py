@@ -143,6 +143,70 @@ def test_position_inverts_the_demand(spark):
             assert demand(r.t) == pytest.approx(r.x, abs=1e-9)
 
 
+def brute_mix(docs):
+    """(doc_id, text, source, lang) of the mix in training order: passes over each source's tape, inverted by bisection."""
+    size = lambda d: len(WS.findall(d[1] or ""))
+    names = sorted({d[2] for d in docs}, key=lambda s: (s is None, s or ""))
+    own = {s: [d for d in docs if d[2] == s] for s in names}
+    words, weight = {s: sum(map(size, own[s])) for s in names}, {s: i % 3 + 1 for i, s in enumerate(names)}
+    left, free, target = float(sum(words.values())), set(names), {}
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * words[s]]
+        for s in over or free:
+            target[s] = 3.0 * words[s] if over else share[s]
+            left -= target[s]
+        free = free - set(over) if over else set()
+    demand = {1: lambda t: 1.5 * t - t * t / 2, 2: lambda t: t, 3: lambda t: t / 2 + t * t / 2}
+    out = []
+    for s in names:
+        at = 0
+        for _ in range(3):
+            for d in sorted(own[s], key=lambda d: (hashlib.md5(str("" if d[0] is None else d[0]).encode()).hexdigest(), size(d), d[4])):
+                share = (at + size(d) / 2) / target[s] if target[s] else 2
+                if size(d) and share < 1:
+                    lo, hi = 0.0, 1.0
+                    for _ in range(60):
+                        lo, hi = ((lo + hi) / 2, hi) if demand[weight[s]]((lo + hi) / 2) < share else (lo, (lo + hi) / 2)
+                    out.append((lo, d[:4]))
+                at += size(d)
+    return out
+
+
+def test_mix_equals_brute_force(spark):
+    """Rows that repeat an id and a text across sources, or differ in lang alone, each get their own copies and places."""
+    from formloom.llm.common import content_hash
+
+    base = [(i % 17, " ".join(["w"] * (3 + i % 5)), f"s{i % 4}", "en") for i in range(90)] + [(1, "one two three", s, "de") for s in ("s0", "s1", "s2", None)] * 2
+    base += [(None, "no id here", "s1", "en")] * 7 + [(None, "no id", "s1", "fr"), (3, None, "s2", "en"), (4, "", None, "en")]
+    df = spark.createDataFrame(base, "doc_id long, text string, source string, lang string")
+    order = {tuple(r)[:4]: r.th for r in df.withColumn("th", content_hash(df)).collect()}
+    want = brute_mix([(*d, order[d]) for d in base])
+    runs = []
+    for n in (1, 5):
+        docs = df.repartition(n)
+        runs.append([tuple(r) for r in mixing.mixed(docs, 1).collect()])
+        assert Counter(runs[-1]) == Counter(d for _, d in want)
+        place = {}
+        for at, d in sorted(want, key=lambda x: x[0]):
+            place.setdefault(d, []).append(at)
+        seen = Counter()
+        positions = []
+        for d in runs[-1]:
+            positions.append(place[d][seen[d]])
+            seen[d] += 1
+        assert all(a <= b + 1e-9 for a, b in zip(positions, positions[1:], strict=False))
+        plan = rows(mixing.plan(docs))
+        assert sum(r["copies"] for r in plan) == len(want) and Counter(d[0] for _, d in want) == sum((Counter({r["doc_id"]: r["copies"]}) for r in plan), Counter())
+    assert runs[0] == runs[1]
+
+
+def test_a_schedule_shapes_the_result(spark, sf_dir, monkeypatch):
+    before = Counter(map(str, rows(Q.op2_mixing(spark, sf_dir))))
+    monkeypatch.setitem(mixing.SCHEDULES, 3, [(0.0, 1.0), (1.0, 1.0)])
+    assert Counter(map(str, rows(Q.op2_mixing(spark, sf_dir)))) != before
+
+
 def test_mixed_repeats_rows_and_keeps_columns(clashing):
     out = mixing.mixed(clashing)
     assert out.columns == clashing.columns
@@ -243,6 +307,16 @@ def test_rules_counts():
     assert quality_rules.counts(b"") == (0, 0, 0, 0, 0)
 
 
+def test_rules_spare_what_is_ordinary_in_its_group(spark):
+    """The same text stays where its like is common and goes where it is not."""
+    piped = lambda i: " ".join(f"c{i}x{j}|" for j in range(40))
+    tables = [(i, piped(i), "en", "tables") for i in range(250)]
+    plain = [(1000 + i, " ".join(f"word{i}x{j}" for j in range(40)), "en", "plain") for i in range(250)]
+    df = spark.createDataFrame(tables + plain + [(5000, piped(1), "en", "plain")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in rows(quality_rules.rate(df))}
+    assert all(got[i] for i in range(250)) and not got[5000]
+
+
 def test_rules_adapt_to_their_group(spark):
     tables = [(i, " ".join(["w|rd"] * 40) + f" {i}", "en", "tables") for i in range(250)]
     plain = [(1000 + i, " ".join(f"word{j}" for j in range(40)), "en", "plain") for i in range(250)]
@@ -440,13 +514,31 @@ def test_redaction_keeps_rows_and_columns(clashing):
     assert set(changed) == {140} and changed[140]["n_chars"] == len(changed[140]["text"])
 
 
-def test_hint_covers_every_kind(spark):
+def test_every_kind_is_found():
     samples = ["-----BEGIN RSA PRIVATE KEY-----" + "A" * 40, "eyJ" + "a" * 9 + "." + "b" * 9 + "." + "c" * 9, "ghp_" + "a" * 36, "xoxb-" + "1" * 12, "AIza" + "x" * 35, "sk_live_" + "a" * 20,
                "https://me:password1@host", "api_key=abcdefghij", "AKIA" + "B" * 16, "0" * 32]
     samples += ["PassWord: abcdefghij", "passwd=abcdefghij", "Secret=abcdefghij", "tOKEN:abcdefghij", "APIKEY=abcdefghij"]
     assert all(secrets.candidates(s) for s in samples)
-    df = spark.createDataFrame([(s,) for s in samples], "s string")
-    assert df.where(~secrets.hinted(F.col("s"))).count() == 0
+
+
+def test_classes_by_owners_and_repositories(spark):
+    """Brute force over all candidates: owners, repositories and nulls of both decide."""
+    live = lambda k: "ghp_" + hashlib.sha256(str(k).encode()).hexdigest()[:40].translate(str.maketrans("012abc", "QRSTUV"))
+    spread = [(0, 5, 5), (1, 4, 4), (2, 3, 10), (3, 3, 9), (4, 1, 30), (5, 2, 12), (6, 4, 12)]  # (value, owners, repositories)
+    data = [(1000 * v + i, f"x {live(v)} y", f"o{i % owners}") for v, owners, repos in spread for i in range(repos)]
+    data += [(7000 + i, f"x {live(7)} y", s) for i, s in enumerate(["a", "b", "c", "", None])]  # null and empty are two
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    owners, repos = {}, {}
+    for d, t, s in data:
+        owners.setdefault(t, set()).add(s)
+        repos.setdefault(t, set()).add(d)
+    got = {r["doc_id"]: r for r in rows(secrets.scan(df))}
+    for d, t, _ in data:
+        o, n = len(owners[t]), len(repos[t])
+        example = o >= 5 or o >= 3 and n >= 10
+        assert (got[d]["max_owners"], got[d]["max_repos"], got[d]["n_live"], got[d]["spans"]) == ((0, 0, 0, "") if example else (o, n, 1, f"forge:2:{len(t) - 2}")), t
+    cut = {r["doc_id"]: r["text"] for r in rows(secrets.redacted(df))}
+    assert {d for d, t in cut.items() if t == "x [secret] y"} == {d for d, t, _ in data if got[d]["n_live"]}
 
 
 # 10 -----------------------------------------------------------------------------------------
@@ -493,6 +585,10 @@ def test_release_empties_the_shared_folder(spark):
 
     t = common.written(spark.range(3), "t")
     assert t.count() == 3
+    other = common.shared_dir(spark) + "/formloom-llm/another-job"
+    spark.range(2).write.mode("overwrite").parquet(other)
     common.release(spark)
+    assert spark.read.parquet(other).count() == 2  # only this driver's tables go
+    common.delete(spark, other)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
         spark.read.parquet(t.inputFiles()[0].rpartition("/")[0]).count()
