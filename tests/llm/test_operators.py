@@ -415,6 +415,60 @@ def test_shards_balance_and_number_rows(spark, sf_dir):
     assert want == Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got)
 
 
+def plain_greedy(loads, shards=8):
+    """Each whole load, largest share first, to the shard with room whose residual has the highest dot product."""
+    fair = [sum(v[d] for v in loads) / shards for d in range(3)]
+    left, out = [[1.0] * 3 for _ in range(shards)], {}
+    share = [[v[d] / fair[d] if fair[d] else 0.0 for d in range(3)] for v in loads]
+    for i in sorted(range(len(loads)), key=lambda i: -max(share[i])):
+        room = [s for s in range(shards) if left[s][0] >= share[i][0] - 1e-12]
+        out[i] = max(room, key=lambda s: (sum(a * b for a, b in zip(left[s], share[i], strict=True)), -s)) if room else max(range(shards), key=lambda s: (left[s][0], -s))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], share[i], strict=True)]
+    return [out[i] for i in range(len(loads))]
+
+
+def test_shards_equal_the_plain_greedy(spark):
+    """1,000 groups of one to nine equal texts, each load its own, some heavy: the same groups go together."""
+    texts = [("word " * (i % 83) + "x" * (7 * i % 101) + str(i), 1 + i * 7 % 9) for i in range(985)] + [("big " * 900 + str(i), 2) for i in range(15)]
+    df = spark.createDataFrame([(1000 * i + k, t) for i, (t, n) in enumerate(texts) for k in range(n)], "doc_id long, text string").repartition(3)
+    loads = [(n * (len(t) + 1), n * len(t.split()), n) for t, n in texts]
+    order = sorted(range(len(texts)), key=lambda i: hashlib.sha256(texts[i][0].encode()).digest())
+    want = dict(zip(order, plain_greedy([loads[i] for i in order]), strict=True))
+    got = {}
+    for r in rows(sharding.shard(df)):
+        assert got.setdefault(r["doc_id"] // 1000, r["shard"]) == r["shard"]
+    assert got == want
+    size = Counter()
+    for i, s in got.items():
+        size[s] += loads[i][0]
+    assert max(size.values()) <= 1.01 * min(size.values())
+
+
+def test_shards_in_many_lanes_stay_balanced(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.repeat(F.lit("w "), (F.col("id") % 61).cast("int")), (F.col("id") / 2).cast("int")).alias("text"))
+    out = sharding.assigned(sharding.written(sharding._rows(df), "sizes"), lane=128)
+    got = out.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()
+    for c, most in (("b", 1.02), ("n", 1.05), ("t", 1.05)):
+        v = [r[c] for r in got]
+        assert len(v) == 8 and max(v) <= most * min(v), (c, v)
+    assert out.groupBy("text_crc32").agg(F.count_distinct("shard").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def test_a_group_is_cut_only_where_it_fits_nowhere(spark):
+    """A third of a shard goes whole into one; a third of everything is spread."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, F.lit("a copy " * 10)).otherwise(F.concat(F.lit("some text that is here "), F.col("id"))).alias("text"))
+    out = rows(sharding.shard(df))
+    assert len({r["shard"] for r in out if r["doc_id"] < 100}) == 1
+    hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, F.lit("a copy of it")).otherwise(F.concat(F.lit("text "), F.col("id") + 1000000)).alias("text"))
+    out = rows(sharding.shard(hot))
+    size = Counter()
+    for r in out:
+        size[r["shard"]] += r["size"]
+    assert max(size.values()) <= 1.01 * min(size.values()) and len({r["shard"] for r in out if r["doc_id"] < 1000}) == 8
+    for s in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
 def test_shards_with_a_hot_group(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, F.lit("hot copy " * 20)).otherwise(F.concat(F.lit("text "), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")), F.col("id"))).alias("text"))
     got = sharding.shard(df).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()
@@ -427,11 +481,12 @@ def test_shards_with_a_hot_group(spark):
 
 
 def test_written_shards_hold_the_rows(clashing):
-    own = clashing.drop("shard")
+    own = clashing
     back = clashing.sparkSession.read.parquet(sharding.write_shards(own))
     plan = Counter((r["doc_id"], r["shard"]) for r in rows(sharding.shard(own)))
     assert Counter((r["doc_id"], r["shard"]) for r in rows(back)) == plan
-    assert set(back.columns) == {*own.columns, "shard"}
+    assert set(back.columns) == {*own.columns, "_shard", "shard"}
+    assert {r["_shard"] for r in rows(back)} == {"own shard"}
 
 
 # 8 ------------------------------------------------------------------------------------------
