@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from formloom.llm import bpe, licenses, mixing, quality_fm, quality_rules, secrets, sharding, simhash, topk, warc
 from formloom.llm.oracles import ORACLES
 
@@ -60,6 +59,8 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # a file of the repository's top, which imports this package
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
