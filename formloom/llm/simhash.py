@@ -45,6 +45,8 @@ _HALF = np.uint64(0xFFFFFFFF)
 WORDS, BANDS, ROWS = 5, 32, 4
 #: Least hashes, of all 128, that pairs must agree in to be compared; 102 are expected at a similarity of 0.8.
 AGREE = 77
+#: Members of a bucket in a tile, and bytes of their sets, on average at most.
+TILE, TILE_BYTES = 4_096, 32 << 20
 
 
 def fingerprint(text: bytes) -> int:
@@ -266,7 +268,7 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _sketches():
-    """Per text a number of its set of shingles, its buckets and a byte of each least hash."""
+    """Per text a number of its set of shingles, its buckets, a byte of each least hash with a short form of the buckets, and the set's size."""
     rng = np.random.default_rng(SEED)
     flip, odd = rng.integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     mix = rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -274,7 +276,7 @@ def _sketches():
     def each(texts: list[bytes]) -> list[pa.Array]:
         from xxhash import xxh3_64_intdigest
 
-        node, buckets, sig = [], [], []
+        node, buckets, sig, size = [], [], [], []
         for t in texts:
             h = shingles(t)
             node.append(xxh3_64_intdigest(h.tobytes()))
@@ -283,10 +285,11 @@ def _sketches():
                 np.minimum(least, ((h[at : at + 2048] ^ flip) * odd).min(axis=1), out=least)
             b = ((least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * mix).sum(axis=1, dtype=np.uint64)
             buckets.append((b ^ mix[:, 0]).view(np.int64))
-            sig.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+            sig.append((least & np.uint64(255)).astype(np.uint8).tobytes() + (b >> np.uint64(32)).astype(np.uint32).tobytes())
+            size.append(len(h))
         flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-        return [pa.array(np.array(node, np.uint64).view(np.int64)), lists, pa.array(sig, pa.binary())]
+        return [pa.array(np.array(node, np.uint64).view(np.int64)), lists, pa.array(sig, pa.binary()), pa.array(size, pa.int64())]
 
     return each
 
@@ -310,39 +313,87 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _across(f: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket that are not known to belong together and whose sketches agree well enough."""
-    sig = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), BANDS * ROWS)
-    node, root = f["node"].to_numpy(), f["root"].to_numpy()
-    out = [np.zeros((0, 2), np.int64)]
+def _near(f: pd.DataFrame, label: np.ndarray):
+    """(i, positions after i) of a tile pair's rows that lie in different groups by label, whose sketches agree well enough and that meet in no earlier bucket."""
+    raw = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), BANDS * (ROWS + 4))
+    sig, short = raw[:, : BANDS * ROWS], np.ascontiguousarray(raw[:, BANDS * ROWS :]).view(np.uint32)
+    band, tile = int(f["band"].iloc[0]), f["tile"].to_numpy()
+    apart = tile.min(initial=0) != tile.max(initial=0)
     for i in range(len(f) - 1):
-        far = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        far = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if apart:
+            far = far[tile[far] != tile[i]]
         far = far[(sig[far] == sig[i]).sum(axis=1) >= AGREE]
-        out.append(np.stack([np.maximum(node[far], node[i]), np.minimum(node[far], node[i])], axis=1))
-    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        far = far[(short[far] == short[i]).argmax(axis=1) == band]
+        if len(far):
+            yield i, far
+
+
+def _wanted(f: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a tile pair that any pair is to be compared of."""
+    hit = np.zeros(len(f), bool)
+    for i, far in _near(f, f["root"].to_numpy()):
+        hit[i] = True
+        hit[far] = True
+    return f.loc[hit, ["bucket", "low", "high", "node"]]
+
+
+def _linked(f: pd.DataFrame) -> pd.DataFrame:
+    """Links that join a tile pair's groups, over exact similarities; pairs that lie in one group by then are passed over."""
+    label = np.unique(f["root"].to_numpy(), return_inverse=True)[1]
+    sets, node, out = [np.frombuffer(x, np.uint64) for x in f["set"]], f["node"].to_numpy(), []
+    size = np.array([len(x) for x in sets])
+    for i, far in _near(f, label.copy()):
+        far = far[(label[far] != label[i]) & (5 * np.minimum(size[far], size[i]) >= 4 * np.maximum(size[far], size[i]))]
+        if not len(far) or not size[i]:
+            continue
+        flat = np.concatenate([sets[j] for j in far])
+        at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+        both = np.add.reduceat(sets[i][at] == flat, np.cumsum(size[far]) - size[far], dtype=np.int64)
+        for j in far[5 * both >= 4 * (size[far] + size[i] - both)]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((max(node[i], node[j]), min(node[i], node[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """node and its set of shingles."""
+
+    def make():
+        return lambda ts: [pa.array([shingles(t).tobytes() for t in ts], pa.binary())]
+
+    return map_texts(texts, "text", ["node"], [T.StructField("set", T.BinaryType())], make)
 
 
 def alike_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of the sets of shingles that have another at ``alike`` distance, over chains of such pairs.
 
-    rows: _k and text; nodes: a written table of node, _k, buckets and sig, a row per set. Each
-    bucket's members are first compared with its least one; what then lies in one group
-    already needs no more comparison, and all other pairs of a bucket are compared too.
+    rows: _k and text; nodes: a written table of node, _k, buckets, sig and size, a row per set.
+    Each bucket's members are first compared with its least one; what then lies in one group
+    needs no more comparison. All other pairs of a bucket are compared inside tasks, tile by
+    tile (``TILE`` members, ``TILE_BYTES`` of sets), each pair in the first bucket it shares;
+    only links that join groups leave a task. Sets are moved only to tiles that need them.
     """
-    member = nodes.select("node", F.explode("buckets").alias("bucket"))
-    least = member.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-    shared = written(member.join(least, "bucket"), "buckets")
+    member = nodes.select("node", "size", F.posexplode("buckets").alias("band", "bucket"))
+    least = member.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n"), F.sum("size").alias("words")).where("n > 1")
+    shared = written(member.select("node", "band", "bucket").join(least, "bucket"), "buckets")
     first = written(shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
     wanted = shared.select("node").distinct().join(nodes.select("node", "_k"), "node")
     texts = written(rows.join(wanted, "_k").groupBy("node").agg(F.first("text").alias("text")), "texts")
     sure = written(_verified(first, texts), "alike")
     found = components(sure).withColumnsRenamed({"node": "member", "root": "top"})
-    placed = shared.join(found, F.col("node") == F.col("member"), "left").select("bucket", "node", F.coalesce("top", "node").alias("root"))
-    placed = written(placed, "placed")
+    placed = written(shared.join(found, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("top", "node")).drop("member", "top", "b"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    left = placed.join(mixed, "bucket", "left_semi").join(nodes.select("node", "sig"), "node")
-    more = left.groupBy("bucket").applyInPandas(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    return components(sure.unionByName(_verified(written(more, "pairs"), texts)))
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(8 * F.col("words") / TILE_BYTES)).cast("int")
+    left = placed.join(mixed, "bucket", "left_semi").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+    left = left.select("bucket", "low", "high", "band", "tile", "node", "root").join(nodes.select("node", "sig"), "node")
+    key = ["bucket", "low", "high"]
+    wants = written(left.groupBy(*key).applyInPandas(_wanted, "bucket long, low int, high int, node long"), "wants")
+    sets = _sets(texts.join(wants.select("node").distinct(), "node", "left_semi"))
+    more = left.join(wants.join(sets, "node"), ["node", *key]).groupBy(*key).applyInPandas(_linked, "a long, b long")
+    return components(sure.unionByName(written(more, "links")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -360,11 +411,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # Rows of one key agree in every column that can be hashed, so it does not matter which of them stays.
     own = own.withColumn("_k", F.concat_ws(":", row_key(doc_id, text), content_hash(own).cast("string")))
     keyed = own.select("_k", doc_id.alias("doc_id"), text.alias("text"))
-    fields = [T.StructField("node", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
+    fields = [T.StructField("node", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())]
     sketched = map_texts(keyed, "text", ["_k", "doc_id"], fields, _sketches)
     # Nulls come last, so that a null id stays only where the group has no other.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k")).alias("best")
-    nodes = written(sketched.groupBy("node").agg(best, F.first("buckets").alias("buckets"), F.first("sig").alias("sig")).withColumn("_k", F.col("best._k")), "sketches")
+    nodes = written(sketched.groupBy("node").agg(best, F.first("buckets").alias("buckets"), F.first("sig").alias("sig"), F.first("size").alias("size")).withColumn("_k", F.col("best._k")), "sketches")
     groups = alike_groups(keyed.select("_k", "text"), nodes)
     first = nodes.select("node", "best").join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("top")).agg(F.min("best")["_k"].alias("_k"))
     once = F.row_number().over(Window.partitionBy("_k").orderBy("_k"))

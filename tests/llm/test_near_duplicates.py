@@ -56,3 +56,21 @@ def test_near_duplicates_are_five_word_sets_at_four_fifths(spark):
     want = brute_kept(rows)
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == want
     assert 60 < len(want) < len(rows) - 60
+
+
+def test_large_families_are_compared_in_tiles(spark, monkeypatch):
+    """One text edited over and over: most pairs lie on either side of 0.8, and few links leave the tasks."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 150):
+        edited = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            edited[rng.randrange(len(base))] = f"e{rng.randrange(9000)}"
+        rows.append((d, " ".join(edited)))
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], SCHEMA).repartition(3)
+    want = brute_kept(rows)
+    assert 5 < len(want) < 100
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == want
+    monkeypatch.setattr(simhash, "TILE", 16)
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == want
