@@ -46,8 +46,8 @@ def _format(name: str | None) -> str | None:
 def main(argv: list[str]) -> int:
     args = parse(argv)
     if args["list"]:
-        for ext, mime, category, text in FORMATS:
-            print(f"{ext}\t{mime}\t{category}\t{text}")
+        for ext, mime, category in FORMATS:
+            print(f"{ext}\t{mime}\t{category}")
         return 0
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F

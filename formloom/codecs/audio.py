@@ -40,10 +40,17 @@ def parse_wav(data: bytes) -> tuple[int, int, int, str, int, bytes]:
     return rate, channels, bits, "float" if tag == FLOAT else "pcm", len(chunks["data"]) // block, chunks["data"]
 
 
-def build_wav(samples: bytes, rate: int, channels: int, bits: int, floating: bool = False) -> bytes:
+def wav_extras(data: bytes) -> list[tuple[str, bytes]]:
+    """The chunks besides the format and the samples, in order."""
+    return [(kind, body) for kind, _, body in wav_chunks(data) if kind not in ("fmt ", "data")]
+
+
+def build_wav(samples: bytes, rate: int, channels: int, bits: int, floating: bool = False, extras: list[tuple[str, bytes]] | None = None) -> bytes:
+    """extras (id, payload) stand between the format and the samples."""
     block = channels * bits // 8
     fmt = struct.pack("<HHIIHH", FLOAT if floating else PCM, channels, rate, rate * block, block, bits)
-    body = b"fmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(samples)) + samples + bytes(len(samples) & 1)
+    chunk = lambda kind, payload: kind.encode("latin-1") + struct.pack("<I", len(payload)) + payload + bytes(len(payload) & 1)
+    body = b"".join(chunk(*c) for c in [("fmt ", fmt), *(extras or []), ("data", samples)])
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
 
 
@@ -89,6 +96,24 @@ def mp3_frames(data: bytes) -> Iterator[tuple[int, int, int, int, int, int, int,
     require(n, "MP3_NO_FRAMES")
 
 
+def canonical_mp3(data: bytes) -> bytes:
+    """The leading tag, an information frame, all audio frames and the trailing tag; what lies between them is dropped."""
+    frames = list(mp3_frames(data))
+    require(all(f[2] != 25 for f in frames), "MP3_MPEG25_ENCODE")
+    tag = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]) + (10 if data[5] & 0x10 else 0) if data[:3] == b"ID3" else 0
+    first, info = frames[0][1], b""
+    for at in range(tag, first - 3):
+        if data[at] == 0xFF and data[at + 1] & 0xE0 == 0xE0:
+            info = data[at : at + mp3_header(data[at : at + 4])[4]]
+            break
+    return data[:tag] + info + b"".join(f[-1] for f in frames) + (data[-128:] if data[-128:-125] == b"TAG" else b"")
+
+
+def canonical_adts(data: bytes) -> bytes:
+    """All frames without what follows the last one."""
+    return b"".join(data[f[1] : f[1] + f[5]] for f in adts_frames(data))
+
+
 def build_mp3(payloads: list[bytes], kbps: int = 128, rate: int = 44100) -> bytes:
     """Frames of one size, each filled up with a payload."""
     h = bytes([0xFF, 0xFB, KBPS[1, 3].index(kbps) << 4 | MP3_RATES[1].index(rate) << 2, 0xC4])

@@ -247,7 +247,8 @@ def xml_nodes(text: str) -> Iterator[tuple[int, int, int, int, str, str, dict[st
 
 
 def _xml_text(s: str) -> str:
-    return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    # A carriage return as such would be read as a line feed.
+    return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\r", "&#13;")
 
 
 def build_xml(nodes: list[tuple[int, int, str, str, dict[str, str]]]) -> str:

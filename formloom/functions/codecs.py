@@ -20,9 +20,36 @@ def aac_string(config: Column) -> Column:
     return F.concat(F.lit("mp4a.40."), F.shiftright(_byte(config, 0), 3).cast("string"))
 
 
+def _two(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
+
+
 def vp9_string(profile: Column, level: Column, depth: Column) -> Column:
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.concat(F.lit("vp09."), two(profile), F.lit("."), two(level), F.lit("."), two(depth))
+    return F.concat(F.lit("vp09."), _two(profile), F.lit("."), _two(level), F.lit("."), _two(depth))
+
+
+def vp9_config_string(config: Column) -> Column:
+    """The long form, of a VPCodecConfigurationRecord without its box version: profile, level, depth and chroma, then colour."""
+    third = _byte(config, 2)
+    parts = [_byte(config, 0), _byte(config, 1), F.shiftright(third, 4), F.shiftright(third, 1).bitwiseAND(7), _byte(config, 3), _byte(config, 4), _byte(config, 5), third.bitwiseAND(1)]
+    return F.concat_ws(".", F.lit("vp09"), *map(_two, parts))
+
+
+def av1_string(config: Column) -> Column:
+    """av01.P.LLT.DD of an AV1CodecConfigurationRecord."""
+    second, third = _byte(config, 1), _byte(config, 2)
+    depth = F.when(third.bitwiseAND(0x20) > 0, "12").when(third.bitwiseAND(0x40) > 0, "10").otherwise("08")
+    return F.concat(F.lit("av01."), F.shiftright(second, 5).cast("string"), F.lit("."), _two(second.bitwiseAND(31)), F.when(third >= 128, "H").otherwise("M"), F.lit("."), depth)
+
+
+def hevc_string(config: Column, fourcc: str = "hvc1") -> Column:
+    """Profile, reversed compatibility flags, tier and level, and the constraint bytes up to the last that is not zero, of an HEVCDecoderConfigurationRecord."""
+    first = _byte(config, 1)
+    space = F.element_at(F.array(*map(F.lit, ["", "A", "B", "C"])), F.shiftright(first, 6) + 1)
+    flags = F.reverse(F.lpad(F.conv(F.hex(F.substring(config, 3, 4)), 16, 2), 32, "0"))
+    tier = F.when(first.bitwiseAND(0x20) > 0, "H").otherwise("L")
+    ends = F.regexp_replace(F.regexp_replace(F.hex(F.substring(config, 7, 6)), "(00)+$", ""), "(..)", ".$1")
+    return F.concat(F.lit(f"{fourcc}."), space, first.bitwiseAND(31).cast("string"), F.lit("."), F.lower(F.conv(flags, 2, 16)), F.lit("."), tier, _byte(config, 12).cast("string"), F.lower(ends))
 
 
 def dos_timestamp(date: Column, time: Column) -> Column:

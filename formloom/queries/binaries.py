@@ -19,25 +19,33 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source", "doc_id", "text")
 
 
+#: An archive holds the documents of a bounded range of ids.
+_ARCHIVE = ["source", "part"]
+
+
+def _parted(spark, sf_dir):
+    return _docs(spark, sf_dir).withColumn("part", F.floor(F.col("doc_id") / 1000))
+
+
 def _entries(f):
     return [(f"d{i % 7}/{i}.txt", t.encode(), None) for i, t in zip(f["doc_id"], f["text"], strict=True)]
 
 
-_ENTRY_SQL = "SELECT source, 'd' || doc_id % 7 || '/' || doc_id || '.txt' AS name, strlen(text)::BIGINT AS size, md5(text) AS data_md5 FROM documents"
+_ENTRY_SQL = "SELECT source, doc_id // 1000 AS part, 'd' || doc_id % 7 || '/' || doc_id || '.txt' AS name, strlen(text)::BIGINT AS size, md5(text) AS data_md5 FROM documents"
 
 
 def _opened(files, fmt):
-    return source.read(files, fmt, ["source"]).select("source", "name", "size", F.md5("data").alias("data_md5"))
+    return source.read(files, fmt, _ARCHIVE).select(*_ARCHIVE, "name", "size", F.md5("data").alias("data_md5"))
 
 
 @query("archive_zip_roundtrip", _ENTRY_SQL)
 def archive_zip_roundtrip(spark, sf_dir):
-    return _opened(sink.build(_docs(spark, sf_dir), ["source"], "doc_id", lambda f: archive.build_zip(_entries(f))), "zip")
+    return _opened(sink.build(_parted(spark, sf_dir), _ARCHIVE, "doc_id", lambda f: archive.build_zip(_entries(f))), "zip")
 
 
 @query("archive_tar_gz_roundtrip", _ENTRY_SQL)
 def archive_tar_gz_roundtrip(spark, sf_dir):
-    return _opened(sink.build(_docs(spark, sf_dir), ["source"], "doc_id", lambda f: archive.gzip(archive.build_tar(_entries(f)))), "archive")
+    return _opened(sink.build(_parted(spark, sf_dir), _ARCHIVE, "doc_id", lambda f: archive.gzip(archive.build_tar(_entries(f)))), "archive")
 
 
 @query("archive_gzip_roundtrip", "SELECT doc_id, md5(text) AS data_md5 FROM documents")
@@ -67,6 +75,40 @@ def audio_wav_roundtrip(spark, sf_dir):
     return source.read(files, "wav", ["file"]).select("file", "sample_rate", "n_frames", total("samples").alias("total"))
 
 
+@query("audio_wav_chunks", "SELECT p_partkey, 'note' AS id, md5(p_name) AS payload_md5, 4::BIGINT AS n_frames FROM part")
+def audio_wav_chunks(spark, sf_dir):
+    """A chunk that no reader knows outlives a pass through the format."""
+    from formloom.plans.convert import canonical
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    files = sink.build(p, ["p_partkey"], "name", lambda f: audio.build_wav(bytes(8), 8000, 1, 16, extras=[("note", f["name"].iloc[0].encode())]))
+    kept = canonical(files, "wav", ["p_partkey"]).drop("error_code")
+    notes = source.read(kept, "wav_chunks", ["p_partkey"]).where("id = 'note'").select("p_partkey", "id", F.md5("payload").alias("payload_md5"))
+    return notes.join(source.read(kept, "wav", ["p_partkey"]).select("p_partkey", "n_frames"), "p_partkey")
+
+
+@query("svg_sizes", "SELECT p_partkey, (p_size + 1)::DOUBLE AS width, p_partkey::DOUBLE AS height, '0 0 ' || p_size || ' 9' AS view_box, NULL::VARCHAR AS error_code FROM part WHERE p_size % 5 > 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL, 'SVG_SCRIPT' FROM part WHERE p_size % 5 = 0")
+def svg_sizes(spark, sf_dir):
+    """Every fifth size brings a script, which refuses the file."""
+    text = """format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%dpx" height="%d" viewBox="0 0 %d 9">%s</svg>', p_size + 1, p_partkey, p_size, if(p_size % 5 = 0, '<script/>', '<g/>'))"""
+    files = table(spark, sf_dir, "part").select("p_partkey", F.expr(text).cast("binary").alias("content"))
+    return source.read(files, "svg", ["p_partkey"], mode="quarantine").select("p_partkey", "width", "height", "view_box", "error_code")
+
+
+@query("audio_frames_canonical", "SELECT conv_id, count(*) AS n_frames FROM conversations GROUP BY conv_id")
+def audio_frames_canonical(spark, sf_dir):
+    """Junk before, between and after frames goes when a file is written anew; the frames stay."""
+    from formloom.plans.convert import canonical
+
+    def make(f):
+        one = audio.build_mp3([b"x"])
+        return b"ID3\4\0\0\0\0\0\3abc" + b"".join(b"junk" + one for _ in range(len(f))) + b"tail"
+
+    files = canonical(sink.build(_talk(spark, sf_dir), ["conv_id"], "turn", make), "mp3", ["conv_id"]).drop("error_code")
+    size = len(audio.build_mp3([b"x"]))
+    return files.select("conv_id", ((F.octet_length("content") - 13) / size).cast("long").alias("n_frames")).where(F.col("n_frames") > 0)
+
+
 _WIDE = 64
 
 
@@ -141,7 +183,7 @@ def video_mkv_roundtrip(spark, sf_dir):
 
 @query("video_mkv_tracks", "SELECT DISTINCT conv_id, t.number, t.kind, t.codec FROM conversations, (VALUES (1, 'video', 'V_VP9'), (2, 'audio', 'A_OPUS')) AS t(number, kind, codec)")
 def video_mkv_tracks(spark, sf_dir):
-    make = lambda f: ebml.build([(1, 0, True, b"x")], [(1, "video", "V_VP9"), (2, "audio", "A_OPUS")], "webm")
+    make = lambda f: ebml.build([(1 + int(t) % 2, int(t), True, bytes(b)) for t, b in zip(f["turn"], f["body"], strict=True)], [(1, "video", "V_VP9"), (2, "audio", "A_OPUS")], "webm")
     return source.read(sink.build(_talk(spark, sf_dir), ["conv_id"], "turn", make), "mkv_tracks", ["conv_id"]).drop("error_code")
 
 
@@ -266,9 +308,9 @@ def tree_toml_yaml(spark, sf_dir):
     return pick(toml, "toml").unionByName(pick(yaml, "yaml"))
 
 
-@query("tree_xml", "SELECT conv_id, (turn + 2)::INT AS node_id, 1 AS parent_id, 'turn' AS name, text, role FROM conversations WHERE NOT contains(text, chr(13))")
+@query("tree_xml", "SELECT conv_id, (turn + 2)::INT AS node_id, 1 AS parent_id, 'turn' AS name, text, role FROM conversations")
 def tree_xml(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("NOT contains(text, '\\r')").select("conv_id", "turn", "role", "text")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     make = lambda f: markup.build_xml([(1, 0, "talk", "", {}), *[(int(t) + 2, 1, "turn", x, {"role": r, "id": str(t)}) for t, r, x in zip(f["turn"], f["role"], f["text"], strict=True)]]).encode()
     return source.read(sink.build(c, ["conv_id"], "turn", make), "xml", ["conv_id"]).where("node_id > 1").select("conv_id", "node_id", "parent_id", "name", "text", F.col("attributes")["role"].alias("role"))
 

@@ -87,7 +87,23 @@ def plan_first_backends(spark, sf_dir):
     return planner.matrix(spark, transcoder=True).where("backend IS NOT NULL").groupBy("backend").agg(F.count("*").alias("n_pairs"))
 
 
-@query("transcoder_allowlist", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in planner.transcoder_pairs(True)) + ") AS t(in_mime, out_mime)")
+#: The pairs spelled out once more, apart from the planner's table.
+_PAIRS = """WITH v(m) AS (VALUES ('video/mp4'), ('video/webm'), ('video/x-matroska'), ('video/quicktime'), ('video/x-msvideo'), ('video/x-flv'), ('video/3gpp')),
+a(m) AS (VALUES ('audio/mp4'), ('audio/mpeg'), ('audio/flac'), ('audio/ogg'), ('audio/opus'), ('audio/wav'), ('audio/aac')),
+s(m) AS (VALUES ('text/x-subrip'), ('text/vtt'), ('text/x-ass')),
+p AS (SELECT x.m AS in_mime, y.m AS out_mime FROM v x, v y
+UNION ALL SELECT x.m, y.m FROM a x, a y WHERE x.m <> 'audio/mpeg' OR y.m <> 'audio/mpeg'
+UNION ALL SELECT x.m, y.m FROM v x, a y UNION ALL SELECT 'video/mp2t', m FROM a UNION ALL SELECT m, 'video/mp2t' FROM v
+UNION ALL SELECT 'video/mp2t', m FROM v WHERE m NOT IN ('video/x-flv', 'video/3gpp') UNION ALL SELECT 'video/mp2t', 'video/mp2t'
+UNION ALL SELECT 'video/x-ms-wmv', unnest(['video/mp4', 'video/webm', 'video/x-matroska', 'audio/mpeg', 'audio/aac'])
+UNION ALL SELECT 'video/x-f4v', unnest(['video/mp4', 'video/webm', 'audio/mpeg', 'audio/aac'])
+UNION ALL SELECT unnest(['audio/x-ms-wma', 'audio/aiff']), o FROM (SELECT unnest(['audio/mpeg', 'audio/mp4', 'audio/flac', 'audio/wav', 'audio/ogg', 'audio/aac']) AS o)
+UNION ALL SELECT unnest(['audio/wav', 'audio/flac']), 'audio/aiff'
+UNION ALL SELECT m, m FROM (VALUES ('image/vnd.adobe.photoshop'), ('image/x-blp'), ('image/vnd.ms-dds'), ('application/postscript'), ('image/jp2')) AS t(m)
+UNION ALL SELECT x.m, y.m FROM s x, s y)"""
+
+
+@query("transcoder_allowlist", f"{_PAIRS} SELECT * FROM p")
 def transcoder_allowlist(spark, sf_dir):
     cap = planner.capabilities(spark, True).where("backend = 'transcoder'").select("in_mime", "out_mime")
     more = spark.createDataFrame([(a, b) for a in planner.FALLBACK_SUBTITLES for b in planner.FALLBACK_SUBTITLES], cap.schema)
@@ -164,3 +180,27 @@ def codec_functions(spark, sf_dir):
     date, time = (z * 512 + (1 + k % 12) * 32 + 1 + k % 28).cast("int"), (k % 24 * 2048 + k % 60 * 32 + k % 30).cast("int")
     return table(spark, sf_dir, "part").select("p_partkey", c.avc_string(sps).alias("avc"), c.vint(coded).alias("vint"), c.aac_string(F.unhex(F.format_string("%02x10", z % 32 * 8))).alias("aac"),
                                                c.dos_timestamp(date, time).alias("stamp"), c.octal(F.concat(F.lpad(F.conv(k, 10, 8), 11, "0"), F.lit("\x00"))).alias("number"))
+
+
+@query("codec_strings_video", """SELECT p_partkey, 'av01.' || p_size % 3 || '.' || lpad((p_size % 24)::VARCHAR, 2, '0') || CASE WHEN p_size % 2 = 1 THEN 'H' ELSE 'M' END || '.' || CASE WHEN p_size % 4 >= 2 THEN '10' ELSE '08' END AS av1,
+'vp09.' || lpad((p_size % 4)::VARCHAR, 2, '0') || '.31.08.01.02.02.02.0' || p_size % 2 AS vp9, 'hvc1.' || 1 + p_size % 2 || CASE WHEN p_size % 2 = 0 THEN '.6.L' ELSE '.4.L' END || 90 + p_size || '.b0' AS hevc FROM part""")
+def codec_strings_video(spark, sf_dir):
+    """Strings of configuration records made of a part's size; the compatibility flags are those of the profiles Main and Main 10."""
+    from formloom.functions import codecs as c
+
+    z, byte = F.col("p_size"), lambda c: F.format_string("%02x", c.cast("int"))
+    av1 = F.concat(F.lit("81"), byte(z % 3 * 32 + z % 24), byte(z % 2 * 128 + F.floor(z % 4 / 2) * 64), F.lit("00"))
+    vp9 = F.concat(byte(z % 4), F.lit("1f"), byte(0x82 + z % 2), F.lit("0202020000"))
+    hevc = F.concat(F.lit("01"), byte(1 + z % 2), F.when(z % 2 == 0, "60000000").otherwise("20000000"), F.lit("b00000000000"), byte(90 + z), F.lit("f000"))
+    return table(spark, sf_dir, "part").select("p_partkey", c.av1_string(F.unhex(av1)).alias("av1"), c.vp9_config_string(F.unhex(vp9)).alias("vp9"), c.hevc_string(F.unhex(hevc)).alias("hevc"))
+
+
+_SUBTITLE_HEADS = ["WEBVTT", "[Script Info]\\nScriptType: v4.00+", "[Script Info]\\nScriptType: v4.00", "{1}{2}a", "[1][2]a", "1\\n00:00:01,000 --> 00:00:02,000\\na", "none"]
+
+
+@query("detect_subtitles", """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'text/vtt' WHEN 1 THEN 'text/x-ass' WHEN 2 THEN 'text/x-ssa' WHEN 3 THEN 'text/x-microdvd' WHEN 4 THEN 'text/x-mpl2' WHEN 5 THEN 'application/x-subrip' END AS mime
+FROM documents WHERE doc_id % 7 < 6 OR NOT regexp_matches(text, '(WEBVTT|Script Info|-->)')""")
+def detect_subtitles(spark, sf_dir):
+    heads = F.array(*[F.expr(f"'{h}'") for h in _SUBTITLE_HEADS])
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.element_at(heads, (F.col("doc_id") % 7 + 1).cast("int")), F.lit("\n"), F.col("text")).alias("t"))
+    return d.where("doc_id % 7 < 6 OR NOT text RLIKE '(WEBVTT|Script Info|-->)'").select("doc_id", detect.detect_subtitle(F.col("t")).alias("mime"))

@@ -38,22 +38,30 @@ def json_depth(spark, sf_dir):
 _Q = lambda c: f"""CASE WHEN contains({c}, ',') OR contains({c}, '"') OR contains({c}, chr(10)) OR contains({c}, chr(13)) THEN '"' || replace({c}, '"', '""') || '"' ELSE {c} END"""
 
 
-@query("csv_text", f"SELECT source, 'doc_id,lang,text' || chr(13) || chr(10) || string_agg(doc_id || ',' || {_Q('lang')} || ',' || {_Q('text')}, chr(13) || chr(10) ORDER BY doc_id) || chr(13) || chr(10) AS text FROM documents GROUP BY source")
+#: A file holds the rows of a bounded range of ids, so files stay small however many rows there are.
+_FILE_ROWS = 1_000
+
+
+def _part(c):
+    return F.floor(F.col(c) / _FILE_ROWS)
+
+
+@query("csv_text", f"SELECT source, doc_id // {_FILE_ROWS} AS part, 'doc_id,lang,text' || chr(13) || chr(10) || string_agg(doc_id || ',' || {_Q('lang')} || ',' || {_Q('text')}, chr(13) || chr(10) ORDER BY doc_id) || chr(13) || chr(10) AS text FROM documents GROUP BY 1, 2")
 def csv_text(spark, sf_dir):
-    return sink.serialize_delimited(table(spark, sf_dir, "documents"), ["source"], ["doc_id", "lang", "text"], "doc_id")
+    return sink.serialize_delimited(table(spark, sf_dir, "documents").withColumn("part", _part("doc_id")), ["source", "part"], ["doc_id", "lang", "text"], "doc_id")
 
 
-@query("csv_roundtrip", "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS row_no, doc_id::VARCHAR AS doc_id, lang, text FROM documents")
+@query("csv_roundtrip", f"SELECT source, doc_id // {_FILE_ROWS} AS part, row_number() OVER (PARTITION BY source, doc_id // {_FILE_ROWS} ORDER BY doc_id)::INT AS row_no, doc_id::VARCHAR AS doc_id, lang, text FROM documents")
 def csv_roundtrip(spark, sf_dir):
-    return delimited.columns(delimited.parse_delimited(csv_text(spark, sf_dir), ["source"]), ["source"], ["doc_id", "lang", "text"])
+    return delimited.columns(delimited.parse_delimited(csv_text(spark, sf_dir), ["source", "part"]), ["source", "part"], ["doc_id", "lang", "text"])
 
 
-@query("tsv_roundtrip", "SELECT o_orderstatus, o_orderkey::VARCHAR AS o_orderkey, o_orderpriority, o_totalprice FROM orders")
+@query("tsv_roundtrip", f"SELECT o_orderstatus, o_orderkey // {_FILE_ROWS} AS part, o_orderkey::VARCHAR AS o_orderkey, o_orderpriority, o_totalprice FROM orders")
 def tsv_roundtrip(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    files = sink.serialize_delimited(o, ["o_orderstatus"], ["o_orderkey", "o_orderpriority", "o_totalprice"], "o_orderkey", "\t")
-    rows = delimited.columns(delimited.parse_delimited(files, ["o_orderstatus"], delimiter="\t"), ["o_orderstatus"], ["o_orderkey", "o_orderpriority", "o_totalprice"])
-    return rows.select("o_orderstatus", "o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    o, keys = table(spark, sf_dir, "orders").withColumn("part", _part("o_orderkey")), ["o_orderstatus", "part"]
+    files = sink.serialize_delimited(o, keys, ["o_orderkey", "o_orderpriority", "o_totalprice"], "o_orderkey", "\t")
+    rows = delimited.columns(delimited.parse_delimited(files, keys, delimiter="\t"), keys, ["o_orderkey", "o_orderpriority", "o_totalprice"])
+    return rows.select("o_orderstatus", "part", "o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
 _FWF = [FwfColumn("n_name", 6, 26), FwfColumn("n_nationkey", 0, 5, "right"), FwfColumn("n_regionkey", 26, 30, "right")]
@@ -91,8 +99,10 @@ def ini_last_wins(spark, sf_dir):
     return source.parse_ini(sink.joined(o, ["file"], "ordinal", F.col("l"), "\n").withColumnRenamed("_t", "text"), ["file"]).select("file", "key", "value", "n_seen")
 
 
-@query("env_roundtrip", "SELECT lang, 'DOC_' || doc_id AS key, text AS value, doc_id AS first FROM (SELECT lang, doc_id, replace(text, chr(13), '') AS text FROM documents)")
+@query("env_roundtrip", f"SELECT lang, doc_id // {_FILE_ROWS} AS part, 'DOC_' || doc_id || '_' || i AS key, l[i] AS value, doc_id AS first FROM (SELECT lang, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT lang, doc_id, string_split(text, chr(13)) AS l FROM documents))")
 def env_roundtrip(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", F.concat(F.lit("DOC_"), F.col("doc_id")).alias("key"), F.replace("text", F.lit("\r"), F.lit("")).alias("value"), F.col("doc_id").alias("ordinal"))
-    out = source.parse_env(sink.serialize_env(d, ["lang"]), ["lang"])
-    return out.select("lang", "key", "value", F.regexp_extract("key", r"(\d+)$", 1).cast("long").alias("first"))
+    """No value of the format holds a carriage return, so a text has a key for each part between them."""
+    d = table(spark, sf_dir, "documents").select("lang", _part("doc_id").alias("part"), "doc_id", F.posexplode(F.split("text", "\r")).alias("i", "value"))
+    d = d.select("lang", "part", F.concat(F.lit("DOC_"), F.col("doc_id"), F.lit("_"), F.col("i") + 1).alias("key"), "value", F.struct("doc_id", "i").alias("ordinal"))
+    out = source.parse_env(sink.serialize_env(d, ["lang", "part"]), ["lang", "part"])
+    return out.select("lang", "part", "key", "value", F.regexp_extract("key", r"^DOC_(\d+)_", 1).cast("long").alias("first"))

@@ -269,3 +269,49 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(src), str(dst)]) == 1 and main(["--list-formats"]) == 0
     with pytest.raises(SystemExit):
         main(["one"])
+
+
+def test_the_transcoder_takes_just_its_pairs():
+    from formloom.plans.planner import FALLBACK_SUBTITLES, transcoder_pairs
+
+    pairs = transcoder_pairs()
+    assert len(pairs) == len(set(pairs)) == 194
+    assert ("video/mp4", "video/webm") in pairs and ("video/mp2t", "audio/aac") in pairs and ("audio/aiff", "audio/flac") in pairs
+    assert ("audio/mpeg", "audio/mpeg") not in pairs and ("video/mp2t", "video/3gpp") not in pairs and ("image/png", "image/png") not in pairs
+    assert len(transcoder_pairs(True)) == 194 + len(FALLBACK_SUBTITLES) ** 2
+
+
+def test_wav_keeps_chunks_that_it_does_not_know():
+    from formloom.plans.convert import CANONICAL
+
+    extras = [("LIST", b"abc"), ("note", b"")]
+    data = audio.build_wav(b"\1\2\3", 8000, 1, 8, extras=extras)
+    again = CANONICAL["wav"](data)
+    assert again == data and audio.wav_extras(again) == extras and audio.parse_wav(again)[-1] == b"\1\2\3"
+
+
+def test_mp3_and_aac_are_written_anew():
+    from formloom.plans.convert import CANONICAL
+
+    tag, end = b"ID3\4\0\0\0\0\0\2xy", b"TAG" + bytes(125)
+    one = audio.build_mp3([b"a"])
+    info = one[:4] + b"Info" + one[8:]
+    assert CANONICAL["mp3"](tag + b"junk" + info + one + b"junk" + one + b"t" + end) == tag + info + one + one + end
+    assert CANONICAL["mp3"](one + one) == one + one
+    adts = audio.build_adts([b"abc", b"de"])
+    assert CANONICAL["aac"](adts + b"junk") == adts
+
+
+def test_json_with_indent():
+    from formloom.plans.convert import _json
+
+    assert _json(b'{"a":[1,{"b":null}],"c":[]}') == b'{"a":[1,{"b":null}],"c":[]}'
+    assert _json(b'{"a":[1]}', 2) == b'{\n  "a": [\n    1\n  ]\n}'
+
+
+def test_xml_keeps_carriage_returns(spark):
+    from formloom.codecs import markup
+
+    text = markup.build_xml([(1, 0, "a", "one\rtwo\r\nthree", {"k": "x\ry"})])
+    node = next(markup.xml_nodes(text))
+    assert node[5] == "one\rtwo\r\nthree" and node[6]["k"] == "x\ry"
