@@ -639,6 +639,15 @@ def test_classifier_learns_and_scores_everything(spark, docs):
     assert len(scored) == docs.count() and all(0 <= r["score"] <= 1 for r in scored)
 
 
+def test_classifier_on_held_out_labels_of_the_tables(spark):
+    """The query as registered, on labels that it has not learnt from."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+    held = [r for r in rows(Q.op10_quality_fm(spark, sf)) if r["held_out"] and r["doc_id"] in labels]
+    assert len(held) > 40 and {labels[r["doc_id"]] for r in held} == {0, 1}
+    assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) >= 0.95
+
+
 def test_held_out_labels_are_never_read(spark):
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     df = spark.createDataFrame([(i, f"text {i}", 1) for i in ids], "doc_id long, text string, quality int")
