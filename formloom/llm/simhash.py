@@ -47,6 +47,8 @@ WORDS, BANDS, ROWS = 5, 32, 4
 AGREE = 77
 #: Members of a bucket in a tile, and bytes of their sets, on average at most.
 TILE, TILE_BYTES = 4_096, 32 << 20
+#: Bits, as a power of two, of the filter of keys in front of a join: 8 MB that are broadcast, however many keys there are.
+FILTER_BITS = 26
 
 
 def fingerprint(text: bytes) -> int:
@@ -313,6 +315,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def _likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key has the hash of one of keys', by a bitmap of 2 ** ``FILTER_BITS`` bits.
+
+    It only spares a shuffle of rows that the exact join after it would drop: the more keys
+    there are, the fewer rows it drops, and the join's rows stay the same.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    bits = keys.groupBy(F.bitmap_bucket_number(h).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("_bits"))
+    at = rows.withColumns({"_part": F.bitmap_bucket_number(h), "_bit": F.bitmap_bit_position(h)}).join(F.broadcast(bits), "_part")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return at.where(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
 def _near(f: pd.DataFrame, label: np.ndarray):
     """(i, positions after i) of a tile pair's rows that lie in different groups by label, whose sketches agree well enough and that meet in no earlier bucket."""
     raw = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), BANDS * (ROWS + 4))
@@ -379,8 +394,8 @@ def alike_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     least = member.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n"), F.sum("size").alias("words")).where("n > 1")
     shared = written(member.select("node", "band", "bucket").join(least, "bucket"), "buckets")
     first = written(shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
-    wanted = shared.select("node").distinct().join(nodes.select("node", "_k"), "node")
-    texts = written(rows.join(wanted, "_k").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    wanted = written(shared.select("node").distinct().join(nodes.select("node", "_k"), "node"), "wanted")
+    texts = written(_likely(rows, wanted, "_k").join(wanted, "_k").groupBy("node").agg(F.first("text").alias("text")), "texts")
     sure = written(_verified(first, texts), "alike")
     found = components(sure).withColumnsRenamed({"node": "member", "root": "top"})
     placed = written(shared.join(found, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("top", "node")).drop("member", "top", "b"), "placed")

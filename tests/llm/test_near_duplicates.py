@@ -74,3 +74,17 @@ def test_large_families_are_compared_in_tiles(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == want
     monkeypatch.setattr(simhash, "TILE", 16)
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == want
+
+
+def test_the_filter_of_keys_drops_no_row_of_the_join(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("concat('k', id) AS _k", "id AS text").repartition(3)
+    keys = rows.where("text % 7 = 3").select("_k")
+    want = {r.text for r in rows.join(keys, "_k").collect()}
+    for bits in (6, 16, 26):  # full, in between, nearly empty
+        monkeypatch.setattr(simhash, "FILTER_BITS", bits)
+        some = simhash._likely(rows, keys, "_k")
+        assert some.columns == rows.columns
+        got = [r.text for r in some.collect()]
+        assert want <= set(got) and len(got) == len(set(got))
+        assert bits != 26 or len(got) < len(want) + 20
+    assert simhash._likely(rows, keys.limit(0), "_k").count() == 0
