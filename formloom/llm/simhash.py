@@ -47,6 +47,8 @@ WORDS, BANDS, ROWS = 5, 32, 4
 AGREE = 77
 #: Members of a bucket in a tile, and bytes of their sets, on average at most.
 TILE, TILE_BYTES = 4_096, 32 << 20
+#: A multiplier that mixes the hashes of a shingle's words.
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits, as a power of two, of the filter of keys in front of a join: 8 MB that are broadcast, however many keys there are.
 FILTER_BITS = 26
 
@@ -252,13 +254,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def shingles(text: bytes) -> np.ndarray:
-    """The set of a UTF-8 text's shingles of ``WORDS`` words, as sorted hashes."""
-    from xxhash import xxh64_intdigest
+    """The set of a UTF-8 text's shingles of ``WORDS`` words, as sorted hashes; each is made of its words' hashes."""
+    from xxhash import xxh3_64_intdigest
 
     words = text.lower().split()
-    n = max(len(words) - WORDS + 1, min(1, len(words)))
-    joined = map(b" ".join, zip(*(words[k:] for k in range(WORDS)), strict=False)) if len(words) >= WORDS else [b" ".join(words)] * n
-    return np.unique(np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), np.uint64, n))
+    each = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    long = min(WORDS, len(words))
+    n = len(words) - long + 1
+    h = each[:n]
+    for k in range(1, long):
+        h = (h ^ (h >> np.uint64(29))) * _ODD + each[k : n + k]
+    h = np.sort(h ^ (h >> np.uint64(32)))
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
