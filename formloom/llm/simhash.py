@@ -22,7 +22,7 @@ id is there; repeated rows share a component; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formloom.llm.common import content_hash, map_texts, row_key, written
+from formloom.session import small_batches
 
 RADIUS = 3
 SHINGLE = 3
@@ -47,6 +48,8 @@ WORDS, BANDS, ROWS = 5, 32, 4
 AGREE = 77
 #: Members of a bucket in a tile, and bytes of their sets, on average at most.
 TILE, TILE_BYTES = 4_096, 32 << 20
+#: What names two tiles of a bucket whose members are compared.
+PAIR = ["bucket", "low", "high"]
 #: A multiplier that mixes the hashes of a shingle's words.
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits, as a power of two, of the filter of keys in front of a join: 8 MB that are broadcast, however many keys there are.
@@ -351,13 +354,53 @@ def _near(f: pd.DataFrame, label: np.ndarray):
             yield i, far
 
 
+def _tile_pairs(frames):
+    """The rows of each tile pair, from frames sorted by it; many small pairs share a frame, a large one takes several."""
+    held, last = [], None
+    for f in frames:
+        if not len(f):
+            continue
+        key = f[PAIR].to_numpy()
+        cuts = np.flatnonzero(np.append(last is None or (key[0] != last).any(), (key[1:] != key[:-1]).any(axis=1)))
+        last = key[-1]
+        if not len(cuts):
+            held.append(f)
+            continue
+        if held:
+            yield pd.concat([*held, f.iloc[: cuts[0]]])
+        for start, end in pairwise(cuts):
+            yield f.iloc[start:end]
+        held = [f.iloc[cuts[-1] :]]
+    if held:
+        yield pd.concat(held)
+
+
+def _each_tile_pair(rows: DataFrame, make, schema) -> DataFrame:
+    """make's frames over the tile pairs of rows; a task takes many pairs in one pass, one pair at a time in memory."""
+
+    def run(frames):
+        out, n = [], 0
+        for f in _tile_pairs(frames):
+            made = make(f)
+            if len(made):
+                out, n = [*out, made], n + len(made)
+            if n >= TILE or len(out) >= 256:
+                yield pd.concat(out)
+                out, n = [], 0
+        if out:
+            yield pd.concat(out)
+
+    small_batches(rows.sparkSession)
+    return rows.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInPandas(run, schema)
+
+
 def _wanted(f: pd.DataFrame) -> pd.DataFrame:
     """The rows of a tile pair that any pair is to be compared of."""
     hit = np.zeros(len(f), bool)
     for i, far in _near(f, f["root"].to_numpy()):
         hit[i] = True
         hit[far] = True
-    return f.loc[hit, ["bucket", "low", "high", "node"]]
+    return f[hit]
 
 
 def _linked(f: pd.DataFrame) -> pd.DataFrame:
@@ -379,13 +422,17 @@ def _linked(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """node and its set of shingles."""
+def _with_sets(rows: DataFrame) -> DataFrame:
+    """rows with the set of shingles of each one's text in its place."""
 
     def make():
-        return lambda ts: [pa.array([shingles(t).tobytes() for t in ts], pa.binary())]
+        def each(texts):
+            of = {t: shingles(t).tobytes() for t in set(texts)}
+            return [pa.array([of[t] for t in texts], pa.large_binary())]
+
+        return each
 
-    return map_texts(texts, "text", ["node"], [T.StructField("set", T.BinaryType())], make)
+    return map_texts(rows, "text", [c for c in rows.columns if c != "text"], [T.StructField("set", T.BinaryType())], make)
 
 
 def alike_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -410,11 +457,9 @@ def alike_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(8 * F.col("words") / TILE_BYTES)).cast("int")
     left = placed.join(mixed, "bucket", "left_semi").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
-    left = left.select("bucket", "low", "high", "band", "tile", "node", "root").join(nodes.select("node", "sig"), "node")
-    key = ["bucket", "low", "high"]
-    wants = written(left.groupBy(*key).applyInPandas(_wanted, "bucket long, low int, high int, node long"), "wants")
-    sets = _sets(texts.join(wants.select("node").distinct(), "node", "left_semi"))
-    more = left.join(wants.join(sets, "node"), ["node", *key]).groupBy(*key).applyInPandas(_linked, "a long, b long")
+    left = left.select(*PAIR, "band", "tile", "node", "root").join(nodes.select("node", "sig"), "node").select(*PAIR, "band", "tile", "node", "root", "sig")
+    wants = written(_each_tile_pair(left, _wanted, left.schema), "wants")
+    more = _each_tile_pair(_with_sets(wants.join(texts, "node")), _linked, "a long, b long")
     return components(sure.unionByName(written(more, "links")))
 
 
