@@ -440,7 +440,8 @@ def alike_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     rows: _k and text; nodes: a written table of node, _k, buckets, sig and size, a row per set.
     Each bucket's members are first compared with its least one; what then lies in one group
-    needs no more comparison. All other pairs of a bucket are compared inside tasks, tile by
+    needs no more comparison. Of the buckets with the same members the first by band stands for
+    all, as they hold the same pairs. All other pairs of a bucket are compared inside tasks, tile by
     tile (``TILE`` members, ``TILE_BYTES`` of sets), each pair in the first bucket it shares;
     only links that join groups leave a task. Sets are moved only to tiles that need them.
     """
@@ -453,7 +454,9 @@ def alike_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     sure = written(_verified(first, texts), "alike")
     found = components(sure).withColumnsRenamed({"node": "member", "root": "top"})
     placed = written(shared.join(found, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("top", "node")).drop("member", "top", "b"), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    kinds = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("band").alias("at"), F.first("n").alias("n"), *same).where("lo <> hi")
+    mixed = kinds.groupBy("x", "y", "n").agg(F.min(F.struct("at", "bucket"))["bucket"].alias("bucket")).select("bucket")
     tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(8 * F.col("words") / TILE_BYTES)).cast("int")
     left = placed.join(mixed, "bucket", "left_semi").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
