@@ -3,6 +3,9 @@
 import random
 import re
 
+import pandas as pd
+import pytest
+
 from formloom.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -88,3 +91,24 @@ def test_the_filter_of_keys_drops_no_row_of_the_join(spark, monkeypatch):
         assert want <= set(got) and len(got) == len(set(got))
         assert bits != 26 or len(got) < len(want) + 20
     assert simhash._likely(rows, keys.limit(0), "_k").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_tile_pairs_are_whole_however_frames_cut_them(size):
+    keys = [(1, 0, 0)] * 5 + [(1, 0, 1)] + [(1, 1, 1)] * 2 + [(2, 1, 1)] * 9 + [(-(2**63), 0, 0), (2**63 - 1, 0, 0)]
+    rows = pd.DataFrame([(*k, i) for i, k in enumerate(keys)], columns=[*simhash.PAIR, "node"]).astype({"low": "int32", "high": "int32"})
+    frames = [rows.iloc[:0], *(rows.iloc[i : i + size] for i in range(0, len(rows), size)), rows.iloc[:0]]
+    got = [(tuple(f[simhash.PAIR].iloc[0]), list(f["node"])) for f in simhash._tile_pairs(iter(frames))]
+    assert got == [(k, [i for i, x in enumerate(keys) if x == k]) for k in dict.fromkeys(keys)]
+    assert list(simhash._tile_pairs(iter([]))) == []
+
+
+@pytest.mark.parametrize("n_words", [0, 1, 4, 5, 6, 300])
+def test_shingle_hashes_tell_the_same_sets_apart(n_words):
+    words = [f"w{i % 40}" for i in range(n_words)]
+    text = " ".join(words)
+    assert len(simhash.shingles(text.encode())) == len(shingle_set(text))
+    assert simhash.alike(simhash.shingles(text.encode()), simhash.shingles(text.upper().encode())) or not n_words
+    if n_words > 1:
+        turned = set(simhash.shingles(" ".join(reversed(words)).encode()).tolist())
+        assert turned.isdisjoint(simhash.shingles(text.encode()).tolist())
