@@ -15,6 +15,9 @@ compared exactly. A shard gives a spanning forest of its links, never all pairs,
 forests are joined into components by alternating large and small stars, each round a written
 table.
 
+The near-duplicates stage (``deduplicated``) searches by the same trees: fingerprints of 64 blocks
+of 16 bits, a tree of radius 1 for each block, and exact similarities of what they bring together.
+
 Defined results: null and empty texts have fingerprint zero, linked like any other; texts of
 one or two words are a single shingle; null ids never become a component's id while another
 id is there; repeated rows share a component; an empty table gives an empty one.
@@ -42,16 +45,22 @@ SAMPLE = 100_000
 #: Fingerprints a shard should hold, and those compared pairwise in a leaf.
 SHARD, LEAF = 8_192, 2_048
 _HALF = np.uint64(0xFFFFFFFF)
-#: The near-duplicates stage: words of a shingle, buckets a text is in, least hashes that a bucket stands for.
-WORDS, BANDS, ROWS = 5, 32, 4
-#: Least hashes, of all 128, that pairs must agree in to be compared; 102 are expected at a similarity of 0.8.
-AGREE = 77
+#: The near-duplicates stage: words of a shingle, and 16-bit blocks of a wide fingerprint, a tree each.
+WORDS, BLOCKS = 5, 64
+#: Bits, at most, that a pair to be compared differs in: in one block at least, in the first 192, in all 1,024.
+CLOSE, CHECK, FAR = 1, 64, 240
+#: Wide fingerprints, at most about, that the driver sees; those a shard of a block should hold; those compared pairwise in a leaf.
+WIDE_SAMPLE, WIDE_SHARD, WIDE_LEAF = 32_768, 32_768, 512
+#: Wide fingerprints that a task deals to the shards at a time.
+DEAL = 16_384
 #: Members of a bucket in a tile, and bytes of their sets, on average at most.
 TILE, TILE_BYTES = 4_096, 32 << 20
 #: What names two tiles of a bucket whose members are compared.
 PAIR = ["bucket", "low", "high"]
 #: A multiplier that mixes the hashes of a shingle's words.
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: What a shard gets of a wide fingerprint: its node and size, the shard's block, and the first 192 bits.
+_ENTRY = np.dtype([("node", "<i8"), ("size", "<i4"), ("block", "<u2"), ("check", "<u8", 3)])
 #: Bits, as a power of two, of the filter of keys in front of a join: 8 MB that are broadcast, however many keys there are.
 FILTER_BITS = 26
 
@@ -150,32 +159,42 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def spanning(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each fingerprint of a shard the position of its component's first one, over exact distances."""
+def spanning(x: np.ndarray, radius: int = RADIUS, most: int = LEAF, also=None) -> np.ndarray:
+    """For each fingerprint of a shard the position of its component's first one, over exact distances.
+
+    Leaves hold ``most`` fingerprints; also(a, b) tells which of the pairs within radius link, all where it is None.
+    """
     label = np.arange(len(x))
     todo = [np.arange(len(x))]
     while todo:
         i = todo.pop()
-        tree = VpTree(x[i], LEAF, radius) if len(i) > LEAF else None
+        tree = VpTree(x[i], most, radius) if len(i) > most else None
         if tree is not None and tree.leaves > 1:
             pos, leaf = tree.dealt(x[i])
             order = np.argsort(leaf, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
-                label = _pairs(x, i[pos[part]], label, radius)
+                label = _pairs(x, i[pos[part]], label, radius, also)
         else:
-            label = _pairs(x, i, label, radius)
+            label = _pairs(x, i, label, radius, also)
     return label
 
 
-def _pairs(x: np.ndarray, i: np.ndarray, label: np.ndarray, radius: int) -> np.ndarray:
+def _pairs(x: np.ndarray, i: np.ndarray, label: np.ndarray, radius: int, also=None) -> np.ndarray:
     """label after comparing all of i among themselves, block by block."""
     y = x[i]
     step = max(1, (1 << 20) // max(1, len(y)))
     for s in range(0, len(y), step):
-        a, b = np.nonzero(np.bitwise_count(y[s : s + step, None] ^ y[None, s:]) <= radius)
+        near = np.bitwise_count(y[s : s + step, None] ^ y[None, s:]) <= radius
+        a, b = np.divmod(np.flatnonzero(near), near.shape[1])
         up = b > a
-        if up.any():
-            label = _merge(label, i[s + a[up]], i[s + b[up]])
+        a, b = i[s + a[up]], i[s + b[up]]
+        if also is not None:
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            good = also(a, b)
+            a, b = a[good], b[good]
+        if len(a):
+            label = _merge(label, a, b)
     return label
 
 
@@ -279,33 +298,97 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(x) + len(y) - both)
 
 
-def _sketches():
-    """Per text a number of its set of shingles, its buckets, a byte of each least hash with a short form of the buckets, and the set's size."""
+def _wide():
+    """Per text a number of its set of shingles, the set's wide fingerprint, and its size."""
     rng = np.random.default_rng(SEED)
-    flip, odd = rng.integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    mix = rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    flip, odd = rng.integers(0, 1 << 63, (2, BLOCKS // 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def simhash(h: np.ndarray) -> bytes:
+        ones = np.zeros(16 * BLOCKS, np.int64)
+        for at in range(0, len(h), 255):  # so that a byte holds the counts
+            x = (h[at : at + 255, None] ^ flip) * odd
+            x = (x ^ (x >> np.uint64(32))) * _ODD
+            x ^= x >> np.uint64(29)
+            ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+        return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
     def each(texts: list[bytes]) -> list[pa.Array]:
         from xxhash import xxh3_64_intdigest
 
-        node, buckets, sig, size = [], [], [], []
-        for t in texts:
-            h = shingles(t)
-            node.append(xxh3_64_intdigest(h.tobytes()))
-            least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-            for at in range(0, len(h), 2048):
-                np.minimum(least, ((h[at : at + 2048] ^ flip) * odd).min(axis=1), out=least)
-            b = ((least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * mix).sum(axis=1, dtype=np.uint64)
-            buckets.append((b ^ mix[:, 0]).view(np.int64))
-            sig.append((least & np.uint64(255)).astype(np.uint8).tobytes() + (b >> np.uint64(32)).astype(np.uint32).tobytes())
-            size.append(len(h))
-        flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-        return [pa.array(np.array(node, np.uint64).view(np.int64)), lists, pa.array(sig, pa.binary()), pa.array(size, pa.int64())]
+        sets = [shingles(t) for t in texts]
+        node = np.array([xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+        return [pa.array(node), pa.array([simhash(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64())]
 
     return each
 
 
+def _blocks(sigs) -> np.ndarray:
+    """Wide fingerprints as rows of 16-bit blocks."""
+    return np.frombuffer(b"".join(sigs), "<u2").reshape(-1, BLOCKS)
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """(node, band, bucket, b, n, words): the groups of wide fingerprints that a vantage-point tree brings together.
+
+    Each block has a tree of radius ``CLOSE`` of its own, its upper levels fitted on a bounded
+    sample; every fingerprint is dealt to its shards in all trees, at a boundary to both sides.
+    In a shard the tree goes on to small leaves, whose pairs are compared exactly. Pairs within
+    ``CLOSE`` bits in the block and ``CHECK`` in the first 192, of sizes that allow 0.8, chain
+    to a group (bucket): b is its least node, n its members, words the sum of their sizes.
+    """
+    count = nodes.count()
+    share = min(1.0, WIDE_SAMPLE / max(1, count))
+    part = nodes.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))).select("sig")
+    seen = _blocks(sorted(bytes(r[0]) for r in part.limit(2 * WIDE_SAMPLE).collect()))
+    trees = [VpTree(x, max(16, int(WIDE_SHARD * share)), CLOSE) for x in seen.T]
+    most = WIDE_LEAF
+
+    def packed(batches):
+        t = pa.Table.from_batches(batches)
+        node, size, block = t["node"].to_numpy(), t["size"].to_numpy(), _blocks(t["sig"].to_pylist())
+        check, base = np.ascontiguousarray(block[:, :12]).view("<u8"), 0
+        for band, tree in enumerate(trees):
+            i, leaf = tree.dealt(block[:, band])
+            order = np.argsort(leaf, kind="stable")
+            i, leaf = i[order], leaf[order]
+            entries = np.empty(len(i), _ENTRY)
+            entries["node"], entries["size"], entries["block"], entries["check"] = node[i], size[i], block[i, band], check[i]
+            cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1), len(i)]
+            made = [pa.array(np.full(len(cuts) - 1, band, np.int32)), pa.array(base + leaf[cuts[:-1]]), pa.array([entries[s:e].tobytes() for s, e in pairwise(cuts)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["band", "shard", "entries"])
+            base += tree.leaves
+
+    def deal(batches):
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + b.num_rows
+            if n >= DEAL:
+                yield from packed(held)
+                held, n = [], 0
+        if n:
+            yield from packed(held)
+
+    def search(f: pd.DataFrame) -> pd.DataFrame:
+        e = np.frombuffer(b"".join(f["entries"]), _ENTRY)
+        e = e[np.argsort(e["node"])]
+        node, size, check = (np.ascontiguousarray(e[c]) for c in ("node", "size", "check"))
+
+        def also(a, b):
+            good = np.flatnonzero(5 * np.minimum(size[a], size[b]).astype(np.int64) >= 4 * np.maximum(size[a], size[b]).astype(np.int64))
+            return good[np.bitwise_count(check[a[good]] ^ check[b[good]]).sum(axis=1, dtype=np.int64) <= CHECK]
+
+        label = spanning(np.ascontiguousarray(e["block"]), CLOSE, most, also)
+        n, words = np.bincount(label, minlength=len(e)), np.bincount(label, size, minlength=len(e)).astype(np.int64)
+        of = label[n[label] > 1]
+        columns = {"node": node[n[label] > 1], "band": f["band"].iloc[0], "shard": f["shard"].iloc[0], "b": node[of], "n": n[of], "words": words[of]}
+        return pd.DataFrame(columns)
+
+    small_batches(nodes.sparkSession)
+    shards = nodes.select("node", "size", "sig").mapInArrow(deal, "band int, shard long, entries binary")
+    met = shards.groupBy("shard").applyInPandas(search, "node long, band int, shard long, b long, n long, words long")
+    return met.select("node", "band", F.xxhash64("shard", "b").alias("bucket"), "b", "n", "words")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are alike, compared shingle by shingle."""
 
@@ -339,17 +422,18 @@ def _likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def _near(f: pd.DataFrame, label: np.ndarray):
-    """(i, positions after i) of a tile pair's rows that lie in different groups by label, whose sketches agree well enough and that meet in no earlier bucket."""
-    raw = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), BANDS * (ROWS + 4))
-    sig, short = raw[:, : BANDS * ROWS], np.ascontiguousarray(raw[:, BANDS * ROWS :]).view(np.uint32)
+    """(i, positions after i) of a tile pair's rows that lie in different groups by label, whose wide fingerprints are near and that are close in no earlier block."""
+    block = _blocks(f["sig"])
+    whole = block.view("<u8")
     band, tile = int(f["band"].iloc[0]), f["tile"].to_numpy()
     apart = tile.min(initial=0) != tile.max(initial=0)
     for i in range(len(f) - 1):
         far = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         if apart:
             far = far[tile[far] != tile[i]]
-        far = far[(sig[far] == sig[i]).sum(axis=1) >= AGREE]
-        far = far[(short[far] == short[i]).argmax(axis=1) == band]
+        far = far[np.bitwise_count(block[far, band] ^ block[i, band]) <= CLOSE]
+        far = far[np.bitwise_count(whole[far] ^ whole[i]).sum(axis=1, dtype=np.int64) <= FAR]
+        far = far[(np.bitwise_count(block[far, :band] ^ block[i, :band]) > CLOSE).all(axis=1)]
         if len(far):
             yield i, far
 
@@ -438,16 +522,15 @@ def _with_sets(rows: DataFrame) -> DataFrame:
 def alike_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of the sets of shingles that have another at ``alike`` distance, over chains of such pairs.
 
-    rows: _k and text; nodes: a written table of node, _k, buckets, sig and size, a row per set.
-    Each bucket's members are first compared with its least one; what then lies in one group
-    needs no more comparison. Of the buckets with the same members the first by band stands for
-    all, as they hold the same pairs. All other pairs of a bucket are compared inside tasks, tile by
-    tile (``TILE`` members, ``TILE_BYTES`` of sets), each pair in the first bucket it shares;
+    rows: _k and text; nodes: a written table of node, _k, sig and size, a row per set.
+    Buckets are the groups that the vantage-point trees of the wide fingerprints bring together
+    (``_met``). Each bucket's members are first compared with its least one; what then lies in one
+    group needs no more comparison. Of a band's buckets with the same members, met in several shards,
+    one stands for all. All other pairs of a bucket are compared inside tasks, tile by tile
+    (``TILE`` members, ``TILE_BYTES`` of sets), each pair in the first block it is close in;
     only links that join groups leave a task. Sets are moved only to tiles that need them.
     """
-    member = nodes.select("node", "size", F.posexplode("buckets").alias("band", "bucket"))
-    least = member.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n"), F.sum("size").alias("words")).where("n > 1")
-    shared = written(member.select("node", "band", "bucket").join(least, "bucket"), "buckets")
+    shared = written(_met(nodes), "buckets")
     first = written(shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
     wanted = written(shared.select("node").distinct().join(nodes.select("node", "_k"), "node"), "wanted")
     texts = written(_likely(rows, wanted, "_k").join(wanted, "_k").groupBy("node").agg(F.first("text").alias("text")), "texts")
@@ -456,7 +539,7 @@ def alike_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     placed = written(shared.join(found, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("top", "node")).drop("member", "top", "b"), "placed")
     same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     kinds = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("band").alias("at"), F.first("n").alias("n"), *same).where("lo <> hi")
-    mixed = kinds.groupBy("x", "y", "n").agg(F.min(F.struct("at", "bucket"))["bucket"].alias("bucket")).select("bucket")
+    mixed = kinds.groupBy("x", "y", "n", "at").agg(F.min("bucket").alias("bucket")).select("bucket")
     tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(8 * F.col("words") / TILE_BYTES)).cast("int")
     left = placed.join(mixed, "bucket", "left_semi").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
@@ -470,8 +553,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least doc_id, with the columns docs came with.
 
     Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8
-    or more, and chains of such texts. Candidates share one of ``BANDS`` buckets of ``ROWS`` least
-    hashes: a pair at exactly 0.8 shares none with a chance of 5 in 10^8. Texts of fewer words
+    or more, and chains of such texts. Candidates come from SimHash fingerprints of 16 * ``BLOCKS``
+    bits through vantage-point trees over each block of 16 (``_met``); their exact similarity
+    decides. A bit differs with a chance of 0.152 at a similarity of 0.8, so such a pair is close in no
+    block with one of 9 in 10^10 (7 in 10^6 for sets of 4 and 5 shingles, whose bits differ most). Texts of fewer words
     are a single shingle; null and empty texts are one group. Of rows with the same doc_id the
     one with the least key over all columns stays, whatever the partitions.
     """
@@ -481,11 +566,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # Rows of one key agree in every column that can be hashed, so it does not matter which of them stays.
     own = own.withColumn("_k", F.concat_ws(":", row_key(doc_id, text), content_hash(own).cast("string")))
     keyed = own.select("_k", doc_id.alias("doc_id"), text.alias("text"))
-    fields = [T.StructField("node", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())]
-    sketched = map_texts(keyed, "text", ["_k", "doc_id"], fields, _sketches)
+    fields = [T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())]
+    sketched = map_texts(keyed, "text", ["_k", "doc_id"], fields, _wide)
     # Nulls come last, so that a null id stays only where the group has no other.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k")).alias("best")
-    nodes = written(sketched.groupBy("node").agg(best, F.first("buckets").alias("buckets"), F.first("sig").alias("sig"), F.first("size").alias("size")).withColumn("_k", F.col("best._k")), "sketches")
+    nodes = written(sketched.groupBy("node").agg(best, F.first("sig").alias("sig"), F.first("size").alias("size")).withColumn("_k", F.col("best._k")), "sketches")
     groups = alike_groups(keyed.select("_k", "text"), nodes)
     first = nodes.select("node", "best").join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("top")).agg(F.min("best")["_k"].alias("_k"))
     once = F.row_number().over(Window.partitionBy("_k").orderBy("_k"))

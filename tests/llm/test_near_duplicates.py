@@ -2,7 +2,9 @@
 
 import random
 import re
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -79,6 +81,60 @@ def test_large_families_are_compared_in_tiles(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == want
 
 
+def test_candidates_come_from_vantage_point_trees(spark, monkeypatch):
+    """A tree for each block, with many shards and small leaves; no pair that is close in a block is lost, and rows are brute force's."""
+    grown, tree = [], simhash.VpTree
+
+    def grow(*args):
+        grown.append(tree(*args))
+        return grown[-1]
+
+    monkeypatch.setattr(simhash, "VpTree", grow)
+    monkeypatch.setattr(simhash, "WIDE_SHARD", 24)
+    monkeypatch.setattr(simhash, "WIDE_LEAF", 8)
+    rows = edited_rows()
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in rows], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == brute_kept(rows)
+    assert len(grown) == simhash.BLOCKS and min(t.leaves for t in grown) > 4
+
+    node, sig, size = (c.to_pylist() for c in simhash._wide()([(t or "").encode() for _, t in rows]))
+    sketches = {n: (s, z) for n, s, z in zip(node, sig, size, strict=True)}
+    sets = spark.createDataFrame([(n, z, bytearray(s)) for n, (s, z) in sketches.items()], "node long, size long, sig binary").repartition(3)
+    together = {}
+    for r in simhash._met(sets).collect():
+        together.setdefault((r.band, r.bucket), set()).add(r.node)
+    met = {(band, *sorted(p)) for (band, _), members in together.items() for p in combinations(members, 2)}
+    bits = {n: np.unpackbits(np.frombuffer(s, np.uint8), bitorder="little") for n, (s, _) in sketches.items()}
+    close = 0
+    for a, b in combinations(sorted(bits), 2):
+        apart = (bits[a] != bits[b]).reshape(simhash.BLOCKS, 16).sum(axis=1)
+        if apart[:12].sum() <= simhash.CHECK and 5 * min(sketches[a][1], sketches[b][1]) >= 4 * max(sketches[a][1], sketches[b][1]):
+            for band in np.flatnonzero(apart <= simhash.CLOSE):
+                close += 1
+                assert (band, a, b) in met
+    assert close > 1000
+
+
+def test_bits_of_wide_fingerprints_differ_by_the_angle():
+    """Sets that share 280 of 320 shingles differ in acos(7/8) / pi of the bits, blocks in as many as independent bits would; unlike sets differ in half."""
+    rng = random.Random(2)
+    text = lambda words: " ".join(words).encode()
+    pairs, others = [], []
+    for _ in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(364)]
+        pairs += [text(words[:324]), text(words[40:])]  # 320 shingles each, 280 shared: 7/9
+        others += [text(words[:180]), text(words[184:])]
+
+    def apart(texts):
+        sig = np.unpackbits(np.array([np.frombuffer(s, np.uint8) for s in simhash._wide()(texts)[1].to_pylist()]), axis=1, bitorder="little")
+        return (sig[::2] != sig[1::2]).reshape(-1, simhash.BLOCKS, 16).sum(axis=2)
+
+    near, far = apart(pairs), apart(others)
+    assert abs(near.mean() / 16 - np.arccos(7 / 8) / np.pi) < 0.01
+    assert abs((near <= simhash.CLOSE).mean() - 0.2463) < 0.03
+    assert abs(far.mean() / 16 - 0.5) < 0.01 and (far <= simhash.CLOSE).mean() < 0.002
+
+
 def test_the_filter_of_keys_drops_no_row_of_the_join(spark, monkeypatch):
     rows = spark.range(4000).selectExpr("concat('k', id) AS _k", "id AS text").repartition(3)
     keys = rows.where("text % 7 = 3").select("_k")
