@@ -41,12 +41,12 @@ _TEXT_CASE = "CASE " + " ".join(f"WHEN starts_with(t, '{s}') THEN '{e}'" + (f" W
 
 @query("detect_documents", f"SELECT ext, count(*) AS n FROM (SELECT {_TEXT_CASE} AS ext FROM (SELECT text AS t FROM documents)) GROUP BY ext")
 def detect_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(detect.detect(F.col("text").cast("binary")).alias("ext")).groupBy("ext").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select(detect.detect(F.col("text").cast("binary"), text=True).alias("ext")).groupBy("ext").agg(F.count("*").alias("n"))
 
 
 @query("detect_pages", "SELECT page_id, CASE WHEN regexp_matches(html, '^\\s*<(svg|SVG)') THEN 'svg' END AS ext FROM pages")
 def detect_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", detect.detect(F.col("html").cast("binary")).alias("ext"))
+    return table(spark, sf_dir, "pages").select("page_id", detect.detect(F.col("html").cast("binary"), text=True).alias("ext"))
 
 
 def _png(*kinds: str) -> bytes:

@@ -232,3 +232,26 @@ def test_dispatch(spark):
         assert parse(one(spark, s), fmt, ["file"]).count() == (2 if fmt == "jsonl" else 1), fmt
     assert parse(one(spark, "ab\n"), "fwf", ["file"], columns=[text.FwfColumn("a", 0, 1)]).first().a == "a"
     fails("UNSUPPORTED_FORMAT", lambda: parse(one(spark, ""), "nope", ["file"]))
+
+
+def test_texts_are_not_taken_for_packets(spark):
+    from formloom.sources.detect import detect
+
+    heads = ["G" + "o" * 187 + "Good", "G\x00" + "o" * 186 + "Good", "RIFF1234WAVE", "PK\x03\x04", "GIF89a", "P1 2 2", " <svg>"]
+    df = spark.createDataFrame(list(enumerate(heads)), "i int, t string").withColumn("b", F.col("t").cast("binary"))
+    got = df.orderBy("i").select(detect(F.col("b"), text=True).alias("text"), detect(F.col("b")).alias("bytes")).collect()
+    assert [r.text for r in got] == [None, None, None, None, "gif", "pbm", "svg"]
+    assert [r.bytes for r in got] == ["ts", "ts", "wav", "zip", "gif", "pbm", "svg"]
+
+
+def test_detect_documents_equals_its_sql_on_two_letters_at_a_packets_distance(spark, tmp_path):
+    import duckdb
+
+    from formloom import catalog
+
+    texts = ["G" + "o" * 187 + "Good", "Good", "GIF89a", "BM", "\t<svg>", None]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(catalog.oracle_sql()["detect_documents"]).fetchall()
+    assert sorted(map(repr, map(tuple, catalog.queries()["detect_documents"](spark, str(tmp_path)).collect()))) == sorted(map(repr, want))
